@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arachne.llm import near_dup, packing, quality, token_counts
+from arachne.llm import near_dup, packing, quality, token_counts, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,15 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_index(*warc.write_archive(table(spark, sf_dir, "pages")))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, urls.repeated_urls(pages))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), ranks())
 
@@ -34,5 +43,5 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"), ranks())
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_best_fit_packing, op4_quality_rules, op5_token_counts)}
-ORACLES: dict[str, str] = {"op4_quality_rules": quality.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc, op3_best_fit_packing, op4_quality_rules, op5_token_counts, op8_url_filters)}
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op4_quality_rules": quality.ORACLE, "op8_url_filters": urls.oracle()}
