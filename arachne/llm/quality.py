@@ -25,6 +25,8 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("dup_line_ratio", None, 0.5),
 )
 
+FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
+
 FEATURES: dict[str, str] = {
     "mean_word_chars": "word_chars / n_words",
     "symbol_ratio": "n_symbols / n_words",
@@ -57,12 +59,13 @@ def repeated_words(words: str) -> str:
     return _let(words, "w", f"if(size(w) < 5, 0L, {body})")
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' id and the counts that rules are made of."""
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str = "null") -> DataFrame:
+    """The counts that rules are made of, of each row; row: SQL of a value to carry along as "row"."""
     stop = ", ".join(f"'{w}'" for w in ALL_STOP_WORDS)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = base.select("doc_id", "text", F.expr(_WORDS).alias("words"), F.expr(_LINES).alias("lines"))
+    base = docs.select(F.expr(row).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = base.select("row", "doc_id", "text", F.expr(_WORDS).alias("words"), F.expr(_LINES).alias("lines"))
     return base.selectExpr(
+        "row",
         "doc_id",
         "cast(size(words) as long) as n_words",
         "cast(length(array_join(words, '')) as long) as word_chars",
@@ -97,11 +100,16 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     judged each; an empty table gives an empty result; other columns are ignored.
     """
     m = measures(docs, id_col, text_col)
-    failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
-    m = m.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    m = m.withColumn("base_failed", F.expr(FAILED)).withColumn("kept", ~F.col("base_failed") & verdict(rules))
     return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """docs' rows that neither the base rule nor the table rejects, with all their columns."""
+    m = measures(docs, id_col, text_col, "struct(*)")
+    return m.where(~F.expr(FAILED) & verdict(rules)).select("row.*")
+
+
 #: DuckDB SQL of the same result.
 ORACLE = f"""
 WITH w AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arachne.llm import near_dup, packing, quality, token_counts, urls, warc
+from arachne.llm import decontaminate, html_text, near_dup, packing, pii, quality, token_counts, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_index(*warc.write_archive(table(spark, sf_dir, "pages")))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urls.filter_urls(pages, urls.repeated_urls(pages))
@@ -43,5 +55,5 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"), ranks())
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc, op3_best_fit_packing, op4_quality_rules, op5_token_counts, op8_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc, op3_best_fit_packing, op4_quality_rules, op5_token_counts, op6_html_extraction, op7_benchmark_decontamination, op8_url_filters, op9_pii)}
 ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op4_quality_rules": quality.ORACLE, "op8_url_filters": urls.oracle()}
