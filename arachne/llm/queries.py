@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arachne.llm import decontaminate, html_text, near_dup, packing, pii, quality, token_counts, urls, warc
+from arachne.llm import decontaminate, html_text, licenses, near_dup, packing, pii, quality, token_counts, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +55,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"), ranks())
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc, op3_best_fit_packing, op4_quality_rules, op5_token_counts, op6_html_extraction, op7_benchmark_decontamination, op8_url_filters, op9_pii)}
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc, op3_best_fit_packing, op4_quality_rules, op5_token_counts, op6_html_extraction, op7_benchmark_decontamination, op8_url_filters, op9_pii, op10_license_scans)}
 ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op4_quality_rules": quality.ORACLE, "op8_url_filters": urls.oracle()}
