@@ -158,4 +158,4 @@ def crf_decode(sequences: DataFrame, size: int) -> DataFrame:
                 paths.append(path[::-1])
             yield pd.DataFrame({"seq": pdf["seq"], "path": paths})
 
-    return sequences.select("seq", "emissions", "transitions").mapInPandas(run, "seq string, path array<int>")
+    return sequences.select(F.col("seq").cast("string").alias("seq"), "emissions", "transitions").mapInPandas(run, "seq string, path array<int>")

@@ -95,7 +95,8 @@ def ring(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Directed: each vector to the next one, and to the next but two, of the same label."""
     e = table(spark, sf_dir, "embeddings")
     w = Window.partitionBy("label").orderBy("vec_id")
-    rows = e.select(F.col("vec_id").cast("string").alias("src"), "label", F.explode(F.array(F.struct(F.lead("vec_id", 1).over(w).alias("d"), F.lit("next").alias("type")), F.struct(F.lead("vec_id", 3).over(w).alias("d"), F.lit("skip").alias("type")))).alias("n"), "vec_id")
+    ahead = e.select("vec_id", F.lead("vec_id", 1).over(w).alias("next"), F.lead("vec_id", 3).over(w).alias("skip"))
+    rows = ahead.select(F.col("vec_id").cast("string").alias("src"), "vec_id", F.explode(F.array(*[F.struct(F.col(t).alias("d"), F.lit(t).alias("type")) for t in ("next", "skip")])).alias("n"))
     out = rows.where("n.d is not null").select("src", F.col("n.d").cast("string").alias("dst"), F.lit(1.0).alias("weight"), "n.type", (F.col("vec_id") * 10 + F.when(F.col("n.type") == "next", 0).otherwise(1)).alias("ord"))
     nodes = e.select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("ord"))
     return PropertyGraph.from_edges(out, True, nodes)
