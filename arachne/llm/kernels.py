@@ -107,10 +107,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(found) if found else np.zeros(0, U64)), counts
 
 
-def shingle_sets(column: pa.Array, n: int = 5) -> list[np.ndarray]:
-    """For each text the sorted hashes of its distinct n-word shingles; with fewer words, of the whole sequence as one; empty without words."""
+#: Bytes of text whose shingles are made at once, unless one text is longer.
+GROUP = 1 << 21
+
+
+#: log2 of the places of a table of costs of words.
+COST_BITS = 20
+
+
+def shingle_sets(column: pa.Array, n: int = 5, cost: np.ndarray | None = None) -> list:
+    """For each text the sorted hashes of its distinct n-word shingles; with fewer words, of the whole sequence as one; empty without words.
+
+    cost: a table by word hash; the answer then has pairs (hashes, sums of the costs of each shingle's words).
+    """
     data, offsets = utf8(column)
-    out: list[np.ndarray] = [np.zeros(0, U64)] * (len(offsets) - 1)
+    out: list = []
+    while len(out) < len(offsets) - 1:
+        lo = len(out)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + GROUP, "right")) - 1)
+        out += _shingle_sets(data, offsets[lo : hi + 1], n, cost)
+    return out
+
+
+def _shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int, cost: np.ndarray | None) -> list:
+    none = np.zeros(0, U64)
+    out: list = [none if cost is None else (none, np.zeros(0, np.uint32))] * (len(offsets) - 1)
     h, counts = words(data, offsets)
     if not len(h):
         return out
@@ -120,13 +141,20 @@ def shingle_sets(column: pa.Array, n: int = 5) -> list[np.ndarray]:
         for k in range(n):
             v += h[k : len(h) - n + 1 + k] * STEP[k + 1]
         v = mix(v)
+        if cost is not None:
+            each = np.concatenate([[0], np.cumsum(cost[(h >> U64(64 - COST_BITS)).astype(np.int64)], dtype=np.int64)])
+            price = (each[n:] - each[:-n]).astype(np.uint32)
     for i in np.flatnonzero(counts):
         a, e = int(ends[i] - counts[i]), int(ends[i])
-        if e - a >= n:
+        if e - a >= n and cost is None:
             out[i] = np.unique(v[a : e - n + 1])
+        elif e - a >= n:
+            own, first = np.unique(v[a : e - n + 1], return_index=True)
+            out[i] = own, price[a : e - n + 1][first]
         else:
             x = h[a:e] * np.array(STEP[1 : e - a + 1], U64)
-            out[i] = mix(np.sum(x, keepdims=True, dtype=U64) + STEP[15] * np.array([e - a], U64))
+            one = mix(np.sum(x, keepdims=True, dtype=U64) + STEP[15] * np.array([e - a], U64))
+            out[i] = one if cost is None else (one, np.zeros(1, np.uint32))
     return out
 
 

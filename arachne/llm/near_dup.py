@@ -10,8 +10,9 @@ are replicated into the window of that pivot's region, as only they can be near
 with new pivots until what is left in them is one component or small enough to compare pair by pair. So groups of
 thousands of near copies cost links to pivots, not pairs, and no link that could change a component is missed.
 
-The order "rarest first" comes from a sketch of fixed size that counts every shingle of every document; any order
-gives the same result, a good one gives small cells.
+The order "rarest first" comes from sketches of fixed size that count every shingle and every word of every document;
+any order gives the same result, a good one gives small cells. Before texts are compared, histograms of their shingles rule out
+pairs that can't be near.
 """
 
 from __future__ import annotations
@@ -27,67 +28,107 @@ from pyspark.sql import functions as F
 from arachne.llm import kernels as K
 from arachne.llm import shared as S
 
-#: log2 of the counters of the sketch: 4 MB in all, whatever the input.
-SKETCH_BITS = 20
+#: log2 of the counters of the sketch: 16 MB in all, whatever the input.
+SKETCH_BITS = 22
+COUNTERS = (1 << SKETCH_BITS) + (1 << K.COST_BITS)
+#: Counters of a document's histogram of shingles, and the set size up to which one byte each is enough.
+BINS, MOST_BINNED = 256, 20_000
 #: Partial sketches that one task adds up.
 SKETCH_FAN = 64
 #: Levels of pivots before what is left is compared pair by pair.
-LEVELS = 3
+LEVELS = 2
 #: A level of pivots is worth a pass while a cell's remaining pairs outnumber its documents by this factor.
 PAIRS_PER_ROW = 4
 
 
 
 def _count(n: int):
-    """One compressed array of counters for each task, in blocks, tagged with a slot for adding up."""
+    """One compressed array of counters for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros(1 << SKETCH_BITS, np.uint64)
+        total = np.zeros(COUNTERS, np.uint32)
         for b in batches:
-            sets = [s for s in K.shingle_sets(b.column(0), n) if len(s)]
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> K.U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint64)
+            h, _ = K.words(*K.utf8(b.column(0)))
+            total[1 << SKETCH_BITS :] += np.bincount((h >> K.U64(64 - K.COST_BITS)).astype(np.int64), minlength=1 << K.COST_BITS).astype(np.uint32)
+            for s in _slices(K.shingle_sets(b.column(0), n)):
+                np.add.at(total, (s >> K.U64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
         if total.any():
-            yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId()], pa.int64()), "part": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId()], pa.int64()), "part": pa.array([_packed(total)], pa.binary())})
 
     return run
 
 
+def _slices(sets: list[np.ndarray], size: int = 200_000) -> Iterator[np.ndarray]:
+    """The members of many sets, in arrays of about size."""
+    part, have = [], 0
+    for s in sets:
+        part.append(s)
+        have += len(s)
+        if have >= size:
+            yield np.concatenate(part)
+            part, have = [], 0
+    if have:
+        yield np.concatenate(part)
+
+
+def _packed(counters: np.ndarray) -> bytes:
+    """Most counters are small: the low bytes and the rest are compressed apart."""
+    low = (counters & 0xFF).astype(np.uint8).tobytes()
+    return zlib.compress(low, 1) + zlib.compress((counters >> 8).astype(np.uint32).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    d = zlib.decompressobj()
+    low = np.frombuffer(d.decompress(data), np.uint8)
+    return low.astype(np.uint64) + (np.frombuffer(zlib.decompress(d.unused_data), np.uint32).astype(np.uint64) << np.uint64(8))
+
+
 def _sum_parts(table: pa.Table) -> pa.Table:
-    total = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for x in table.column("part").to_pylist():
-        total += np.frombuffer(zlib.decompress(x), np.uint64)
+    total = np.zeros(COUNTERS, np.uint64)
+    for x in table.column("part"):
+        total += _unpacked(x.as_py())
     slot = table.column("up")[0].as_py()
-    return pa.table({"slot": pa.array([slot], pa.int64()), "part": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+    return pa.table({"slot": pa.array([slot], pa.int64()), "part": pa.array([_packed(np.minimum(total, (1 << 32) - 1).astype(np.uint32))], pa.binary())})
 
 
-def shingle_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How often shingles of each hash bucket occur, over all texts: ranks of the counts, so that 4 MB hold them."""
+def shingle_order(docs: DataFrame, n: int) -> bytes:
+    """What orders shingles from rare to frequent, from counts over all texts, compressed: a byte for each hash bucket of
+    shingles, 1 if it is far fuller than the median bucket; then a byte for each bucket of words, the log of its count.
+
+    A shingle's price is the sum of its words' logs: what common words make by chance comes late, and what a frequent
+    passage repeats comes last.
+    """
     parts = S.saved(docs.mapInArrow(_count(n), "slot long, part binary"), "sketch")
     many = parts.count()
     while many > SKETCH_FAN:
         parts = S.saved(parts.withColumn("up", F.expr(f"slot div {SKETCH_FAN}")).groupBy("up").applyInArrow(_sum_parts, "slot long, part binary"), "sketch")
         many = parts.count()
-    total = np.zeros(1 << SKETCH_BITS, np.uint64)
+    total = np.zeros(COUNTERS, np.uint64)
     for row in parts.toLocalIterator():
-        total += np.frombuffer(zlib.decompress(bytes(row.part)), np.uint64)
-    return np.unique(total, return_inverse=True)[1].astype(np.uint32)
+        total += _unpacked(bytes(row.part))
+    buckets, words = total[: 1 << SKETCH_BITS], total[1 << SKETCH_BITS :]
+    middle = float(np.median(buckets))
+    full = (buckets > middle + 6 * middle**0.5 + 6).astype(np.uint8)
+    logs = np.minimum(np.log2(words.astype(np.float64) + 1) * 6, 255).astype(np.uint8)
+    return zlib.compress(full.tobytes() + logs.tobytes(), 1)
 
 
 def _features(n: int, rank, percent: int):
-    """(id, n, d1, d2, tokens) of each text: size and digest of its set, and its rarest shingles."""
+    """(id, n, d1, d2, tokens, bins) of each text: size and digest of its set, its rarest shingles, their histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.frombuffer(zlib.decompress(rank.value), np.uint32)
+        order = np.frombuffer(zlib.decompress(rank.value), np.uint8)
+        full, cost = order[: 1 << SKETCH_BITS], order[1 << SKETCH_BITS :]
         for b in batches:
-            sets = K.shingle_sets(b.column(1), n)
+            priced = K.shingle_sets(b.column(1), n, cost)
+            sets = [s for s, _ in priced]
             tokens = []
-            for s in sets:
+            for s, price in priced:
                 keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
                 if keep < len(s):
-                    s = s[np.lexsort((s, order[(s >> K.U64(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]]
+                    s = s[np.lexsort((s, price, full[(s >> K.U64(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]]
                 tokens.append(s.view(np.int64))
             digests = [K.set_digest(s) for s in sets]
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
@@ -98,8 +139,9 @@ def _features(n: int, rank, percent: int):
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(t) for t in tokens]), pa.int32()), pa.array(flat)),
+                    pa.array([np.minimum(np.bincount((s >> K.U64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() if len(s) <= MOST_BINNED else b"" for s in sets], pa.binary()),
                 ],
-                names=["id", "n", "d1", "d2", "tokens"],
+                names=["id", "n", "d1", "d2", "tokens", "bins"],
             )
 
     return run
@@ -122,18 +164,50 @@ def _overlaps(n: int):
     return run
 
 
-def distances(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """pairs (x, p) with the exact size of the intersection of their sets, saved. docs: (id, text)."""
-    pairs = S.saved(pairs.select("x", "p").distinct(), "pairs")
+def _possible(least: int):
+    """Of pairs (x, p, nx, np, bx, bp) those whose histograms allow a similarity of at least `least` percent.
+
+    Bin by bin the smaller count bounds what two sets share, so no such pair is lost; a set without histogram passes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = []
+            for name in ("bx", "bp"):
+                data, offsets = K.utf8(b.column(name))
+                full = np.diff(offsets) == BINS
+                grid = np.zeros((len(full), BINS), np.uint8)
+                if full.any():
+                    grid[full] = data[(offsets[:-1][full][:, None] + np.arange(BINS))]
+                sides.append((full, grid))
+            (fx, gx), (fp, gp) = sides
+            nx, np_ = b.column("nx").to_numpy(), b.column("np").to_numpy()
+            most = np.minimum(gx, gp).sum(axis=1, dtype=np.int64)
+            ok = ~(fx & fp) | (100 * most >= least * (nx + np_ - most))
+            yield b.select(["x", "p", "nx", "np"]).filter(pa.array(ok))
+
+    return run
+
+
+def distances(pairs: DataFrame, docs: DataFrame, bins: DataFrame, n: int, least: int) -> DataFrame:
+    """(x, p, nx, np, both) of the pairs (x, p, nx, np) that may reach least percent: the exact size of the intersection, saved.
+
+    docs: (id, text); bins: (id, bins). Only texts of pairs that pass the histograms are moved.
+    """
+    shape = "x long, p long, nx long, np long"
+    b = bins.select("id", "bins")
+    with_bins = pairs.join(b.toDF("x", "bx"), "x").join(b.toDF("p", "bp"), "p").select("x", "p", "nx", "np", "bx", "bp")
+    pairs = S.saved(with_bins.mapInArrow(_possible(least), shape).distinct(), "pairs")
     rows = pairs.count()
 
     def texts(column: str) -> DataFrame:
         ids = pairs.select(F.col(column).alias("id")).distinct()
         return docs.join(S.maybe_broadcast(ids, rows), "id", "left_semi")
 
-    left = pairs.join(texts("x").select(F.col("id").alias("x"), F.col("text").alias("tx")), "x")
+    left = pairs.select("x", "p").join(texts("x").select(F.col("id").alias("x"), F.col("text").alias("tx")), "x")
     full = left.join(texts("p").select(F.col("id").alias("p"), F.col("text").alias("tp")), "p").select("x", "p", "tx", "tp")
-    return S.saved(full.mapInArrow(_overlaps(n), "x long, p long, both long"), "distances")
+    found = full.mapInArrow(_overlaps(n), "x long, p long, both long").groupBy("x", "p").agg(F.max("both").alias("both"))
+    return S.saved(pairs.join(found, ["x", "p"]), "distances")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -148,8 +222,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rank = spark.sparkContext.broadcast(zlib.compress(shingle_sketch(texts.select("text"), n).tobytes(), 1))
-    feats = S.saved(texts.mapInArrow(_features(n, rank, percent), "id long, n long, d1 long, d2 long, tokens array<long>"), "features")
+    rank = spark.sparkContext.broadcast(shingle_order(texts.select("text"), n))
+    feats = S.saved(texts.mapInArrow(_features(n, rank, percent), "id long, n long, d1 long, d2 long, tokens array<long>, bins binary"), "features")
     classes = S.saved(feats.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
 
     # Cells: rare shingles that two or more representatives hold; of cells with equal members one is kept.
@@ -159,17 +233,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = S.saved(shared.where("p < q").groupBy("p", "q", "k", "h").agg(F.min("cell").alias("cell")), "kept")
     cells, at = S.write_out(held.join(kept.select("cell", "p", "q"), "cell"), "cells")
     S.free_shuffles(spark)
-    links, parts = None, None
+    links = None
     for level in range(LEVELS):
         ends = cells.select("x", "nx").distinct()
         near = cells.select("x", "nx", F.explode(F.array("p", "q")).alias("p")).where("x <> p").distinct()
         near = near.join(ends.select(F.col("x").alias("p"), F.col("nx").alias("np")), "p")
-        near = S.saved(near.where(f"100 * least(nx, np) >= {2 * percent - 100} * greatest(nx, np)"), "near")
-        known = distances(near, texts, n)
-        scored = S.saved(near.join(known, ["x", "p"]).select("x", "p", F.expr("nx + np - both").alias("union"), "both"), "scored")
+        window = 2 * percent - 100
+        known = distances(near.where(f"100 * least(nx, np) >= {window} * greatest(nx, np)"), texts, feats, n, window)
+        scored = known.select("x", "p", F.expr("nx + np - both").alias("union"), "both")
         new = scored.where(f"100 * both >= {percent} * union").select(F.col("x").alias("a"), F.col("p").alias("b"))
         links = S.saved(new if links is None else links.union(new), "links")
-        parts = S.saved(S.components(links), "parts")
+        parts = S.saved(_labels(links), "parts")
         cells, old = _regions(cells, scored, parts, percent), at
         cells, at = S.write_out(cells, "cells")
         S.remove(spark, old)
@@ -180,19 +254,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not left.rows or left.pairs <= PAIRS_PER_ROW * left.rows + 100_000:
             break
     if left.rows:
-        rest = S.saved(_pairs(cells, percent), "near")
-        known = distances(rest, texts, n)
-        new = rest.join(known, ["x", "p"]).where(f"100 * both >= {percent} * (nx + np - both)").select(F.col("x").alias("a"), F.col("p").alias("b"))
-        parts = S.saved(S.components(S.saved(links.union(new), "links")), "parts")
+        known = distances(_pairs(cells, percent), texts, feats, n, percent)
+        new = known.where(f"100 * both >= {percent} * (nx + np - both)").select(F.col("x").alias("a"), F.col("p").alias("b"))
+        links = S.saved(links.union(new), "links")
+    parts = S.saved(S.components(links), "parts")
 
     named = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     out = feats.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id"))).alias("component_id"))
 
 
+def _labels(links: DataFrame, rounds: int = 3) -> DataFrame:
+    """(id, comp): the smallest id within some links of each linked id. Equal labels are one component; most of a component shares one."""
+    both = links.select("a", "b").union(links.select("b", "a"))
+    out = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp"))
+    for _ in range(rounds - 1):
+        near = both.join(out.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
+        out = out.join(near, "a").select("a", F.least("comp", "m").alias("comp"))
+    return out.withColumnRenamed("a", "id")
+
+
 def _regions(cells: DataFrame, scored: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The next level's cells (cell, x, nx, pos, p, q, part), from the members that the pivots p and q don't settle.
 
+    parts: (id, comp), labels of which equal ones are one component.
+
     With r the radius, a cell splits into the inner regions of p and q (within r of it, nearest first), each with its
     window (beyond r, but within 2 r, and of another component), and the outer region (beyond r of both). A pivot goes
     no further: all its distances in the cell are known. A region goes on only if it holds two components.
