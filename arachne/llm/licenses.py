@@ -95,8 +95,11 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     """Fits on the templates' variations and a bounded sample of paragraphs; half of each is held out for the calibration."""
     known = _training(spark)
     naming = "text rlike '(?i)licen[sc]e|copyright|rights reserved|spdx|permission is|redistribut|creative commons|public license'"
-    other = paragraphs(docs, id_col, text_col).where(f"length(text) > 0 and not ({naming})").orderBy(F.xxhash64("text"), "doc_id", "paragraph").limit(UNKNOWN_SAMPLE)
-    rows = known.select("family", "text").union(other.select(F.lit("unknown"), F.expr("substring(text, 1, 400)").alias("text")))
+    # Documents by a hash of their text, about as many as paragraphs are wanted; then the first paragraphs by a hash of theirs.
+    every = max(1, docs.count() // UNKNOWN_SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(every)) == 0)
+    other = paragraphs(some, id_col, text_col).where(f"length(text) > 0 and not ({naming})").selectExpr("substring(text, 1, 400) as text").orderBy(F.xxhash64("text"), "text").limit(UNKNOWN_SAMPLE)
+    rows = known.select("family", "text").union(other.select(F.lit("unknown"), "text"))
     rows = rows.withColumn("words", F.expr(_tokens("text"))).select("family", "words", F.expr(_grams("words")).alias("grams"), (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("held"))
     labels = ["unknown", *sorted(TEMPLATES)]
     rows = rows.withColumn("label", F.array_position(F.array(*map(F.lit, labels)), F.col("family")).cast("double") - 1)
