@@ -631,7 +631,7 @@ def vgae_kl(spark, sf):
 
 @query(
     "SELECT k::BIGINT AS step, id, round(h, 6) AS heat FROM p",
-    using=(_TRADE, "dg AS (SELECT src AS id, sum(weight / 1e6) AS d FROM tba GROUP BY 1), p AS (SELECT n_name AS id, n_nationkey::DOUBLE AS h, 0 AS k FROM nation UNION ALL SELECT m.id, sum(m.v * p.h), p.k + 1 FROM p JOIN m ON m.src = p.id WHERE p.k < 3 GROUP BY m.id, p.k), m AS (SELECT id, id AS src, 1 - 0.2::DOUBLE * d AS v FROM dg UNION ALL SELECT dst, src, 0.2::DOUBLE * weight / 1e6 FROM tba)"),
+    using=(_TRADE, "dg AS (SELECT src AS id, sum(weight / 1e6) AS d FROM tba GROUP BY 1), m AS (SELECT id, id AS src, 1 - 0.2::DOUBLE * d AS v FROM dg UNION ALL SELECT dst, src, 0.2::DOUBLE * weight / 1e6 FROM tba), p AS (SELECT n_name AS id, n_nationkey::DOUBLE AS h, 0 AS k FROM nation UNION ALL SELECT m.id, sum(m.v * p.h), p.k + 1 FROM p JOIN m ON m.src = p.id WHERE p.k < 3 GROUP BY m.id, p.k)"),
 )
 def heat_diffusion(spark, sf):
     g = G.trade_both(spark, sf)
