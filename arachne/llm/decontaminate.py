@@ -5,12 +5,14 @@ are BM25 weights divided by the least score that a passage can have which holds
 so the threshold is 1 for every item and no leak falls below it. Items of like length share an index, and passages are
 cut to fit it. Upper bounds of all passages, first over all items, then over blocks of items, are summed in numpy; the
 passages that may reach the threshold go through block-max WAND, which retrieves every item at or above it. A
-retrieved item counts if its question and its answer both overlap the document.
+retrieved item counts if its question and its answer both overlap the document, or, where it marks no such parts, all
+of it does.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -35,17 +37,23 @@ BOUND_CELLS = 1 << 23
 #: Items of one index: the size of what is sent to the executors is bounded by this; more items make more indexes.
 INDEX_ITEMS = 20_000
 SLACK = 1e-6
+#: Where an answer begins: at its label at the start of a line, or after a question mark that ends a line.
+ANSWER = re.compile(r"^[ \t]*(?:answer|a|response|solution)[ \t]*:", re.I | re.M)
+ASKED = re.compile(r"\?[\"'»”)]*[ \t]*\r?\n")
 
 
-def split_item(text: str, n: int = SHINGLE) -> tuple[str, str]:
-    """(question, answer): the part up to the last question mark or, without one, the last line break, and the rest.
+def split_item(text: str, n: int = SHINGLE, overlap: int = OVERLAP) -> tuple[str, str]:
+    """(question, answer) of an item that marks them, by a label of the answer or by a question mark that ends a line; else (text, "").
 
-    If either has fewer than n words, all is the question: a shorter answer has no shingle of its own.
+    A part counts by itself only if it still has overlap percent of its shingles when two of its words are glued
+    together, which takes up to n + 1 of them. Otherwise all is the question, and the whole item's shingles decide.
     """
     body = text.strip()
-    at = body.rfind("?") + 1 or body.rfind("\n") + 1
-    q, a = body[:at], body[at:]
-    return (q, a) if min(len(q.split()), len(a.split())) >= n else (text, "")
+    at = next((m.start() for m in ANSWER.finditer(body)), 0) or max((m.end() for m in ASKED.finditer(body)), default=0)
+    parts = body[:at], body[at:]
+    if at and all(100 * (n + 1) <= (100 - overlap) * len(s) for s in K.shingle_sets(pa.array(parts), n)):
+        return parts
+    return text, ""
 
 
 @dataclass
@@ -67,7 +75,7 @@ def build_indexes(rows: list[tuple[int, str]], n: int = SHINGLE, overlap: int =
     for item, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
         h, _ = K.words(*K.utf8(pa.array([text or ""])))
         if len(h):
-            items.append((item, Counter(h.tolist()), tuple(K.shingle_sets(pa.array(split_item(text or "", n)), n))))
+            items.append((item, Counter(h.tolist()), tuple(K.shingle_sets(pa.array(split_item(text or "", n, overlap)), n))))
     df = Counter(t for _, w, _ in items for t in w)
     mean = sum(sum(w.values()) for _, w, _ in items) / max(1, len(items))
     classes: dict[int, list] = {}
@@ -216,8 +224,9 @@ def _query(sent, overlap: int, n: int):
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", overlap: int = OVERLAP, n: int = SHINGLE) -> DataFrame:
     """Rows (doc_id, item_id, question_hits, question_shingles, answer_hits, answer_shingles), one for each leak.
 
-    An item leaks into a document if the document holds at least overlap percent of the n-word shingles of the item's
-    question and of its answer, with enough of its words in one passage. Cases: null or empty texts and items leak
+    An item leaks into a document if the document holds at least overlap percent of the n-word shingles of the item, or
+    of its question and of its answer where it marks both (see split_item; the answer's columns are 0 elsewhere), with
+    enough of its words in one passage. Cases: null or empty texts and items leak
     nothing; an item of fewer than n words counts as one shingle, which only a document of just these words holds; repeated rows give repeated leaks; an item id given twice is two items; an empty table
     gives an empty result; other columns are ignored.
     """

@@ -196,6 +196,29 @@ def test_leaks_equal_brute_force(spark):
     assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_leaks_of_items_with_an_altered_word_equal_whole_item_overlap(spark):
+    rng = random.Random(8)
+    items = [prose(rng, 40) + ".\n" + prose(rng, 6) for _ in range(12)] + [prose(rng, 20) + "? " + prose(rng, 20) + "? " + prose(rng, 6) for _ in range(6)] + [prose(rng, 40) + "?\nAnswer: " + prose(rng, 4) for _ in range(6)]
+    texts = []
+    for t in items:
+        w = t.split()
+        w[rng.choice([-1, -2, -3])] += "chbeheitä.%%%"
+        texts += [prose(rng, 60) + " " + " ".join(w) + prose(rng, 60), prose(rng, 60) + " " + " ".join(w[: len(w) // 2])]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if 100 * len(shingles(x) & shingles(t)) >= 80 * len(shingles(x))}
+    assert want == {(2 * i, i) for i in range(len(items))}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, texts), bench).collect()} == want
+
+
+def test_items_split_at_marked_answers_only():
+    rng = random.Random(9)
+    q, a = prose(rng, 60) + "?", prose(rng, 60)
+    assert decontaminate.split_item(q + "\n" + a) == (q + "\n", a)
+    assert decontaminate.split_item("Q: " + q + "\nA: " + a) == ("Q: " + q + "\n", "A: " + a)
+    for whole in (q + " " + a, a + "\n" + a, q + "\n" + prose(rng, 20), prose(rng, 20) + "?\n" + a):
+        assert decontaminate.split_item(whole) == (whole, "")
+
+
 def test_urls(spark):
     rows = ["http://a.example.com/en/x", "http://www.example.com/en/x", "https://x.net/fr/", "https://X.NET/de/1", "http://www.x.net/de/1/?utm_source=f#top", "http://y.org/q?b=1&a=2", "http://y.org/q?a=2&b=1&ref=z", "nothing", None, "://", "http://com", "http://z.com/"]
     p = spark.createDataFrame([(i, u, "x") for i, u in enumerate(rows)], "page_id long, url string, canonical string")
