@@ -130,7 +130,10 @@ def deobfuscate(text: str) -> Transduced:
 
 
 def detect(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, all spans) of a text, both by kind as listed and then by start. Added spans overlap no other span."""
+    """(base spans, all spans) of a text, both by kind as listed and then by start.
+
+    An added span lies in no other span, but may hold or overlap one: a disguise often leaves a shorter base match.
+    """
     if not text:
         return [], []
     base = find(text)
@@ -139,14 +142,14 @@ def detect(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str
     if t.changed:
         for kind, i, j in find(t.text):
             lo, hi = t._span(i, j)
-            if all(hi <= b or e <= lo for _, b, e in every):
+            if not any(b <= lo and hi <= e for _, b, e in every):
                 every.append((kind, lo, hi))
         every.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
     return base, every
 
 
 def redact(text: str | None) -> str | None:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first and longest counts."""
+    """The text with each span replaced by its kind in brackets; overlapping spans are replaced as one, named by the first and longest."""
     if not text:
         return text
     out, at = [], 0

@@ -264,6 +264,17 @@ def test_disguises(text, found):
     assert [(k, text[i:j]) for k, i, j in pii.detect(text)[1]] == found
 
 
+@pytest.mark.parametrize(("text", "kind", "base", "whole"), [
+    ("to jоhn@example.com now", "email", "hn@example.com", "jоhn@example.com"), ("to john@mail.exаmple.com now", "email", "john@mail.ex", "john@mail.exаmple.com"),
+    ("call +44 20 7946 ０958 now", "phone", "+44 20 7946", "+44 20 7946 ０958"),
+])
+def test_disguises_inside_an_identifier(text, kind, base, whole):
+    first, every = pii.detect(text)
+    assert [(k, text[i:j]) for k, i, j in first] == [(kind, base)]
+    assert {(k, text[i:j]) for k, i, j in every} == {(kind, base), (kind, whole)}
+    assert pii.redact(text) == text.replace(whole, f"[{kind.upper()}]")
+
+
 def test_licences(spark):
     rng = random.Random(7)
     named = {3: ("mit", "Released under the MIT License."), 9: ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."), 12: ("apache-2.0", "Licensed under the Apache License, Version 2.0.")}
