@@ -31,7 +31,8 @@ MARKS = frozenset(
 NAMED = {"article": 2.0, "main": 1.5}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: The attributes of a tag in order, each a whole name and its value; a stray quoted string has no name.
+ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
 SPLIT = re.compile(r"[^a-z]+")
 DIGITS = re.compile(r"\d+")
 SPACE = re.compile(r"\s+")
@@ -111,7 +112,7 @@ class Page:
                         break
             kind, hidden = "", False
             for a in ATTR.finditer(m[3]) if m[3] else ():
-                name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+                name, value = (a[1] or "").lower(), a[2] or a[3] or a[4] or ""
                 if name == "class" or name == "id" and not kind:
                     kind = value
                 hidden |= name == "hidden" or name == "aria-hidden" and value.lower() == "true"

@@ -181,6 +181,18 @@ def test_html(spark):
     assert html_text.main_text(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("attributes", [
+    'style="overflow:hidden"', 'title="the hidden class=menu"', 'data-id="nav"', "data-role='footer'", 'href="/x?id=menu"', "href=/x?id=menu", 'data-hidden', 'x-aria-hidden="true"', 'aria-hidden="false"', 'title = "a" data-class = "sidebar"',
+])
+def test_html_attributes_are_whole_names(attributes):
+    assert html_text.Page(f"<body><div {attributes}><p>The text.</p></div></body>").text(None) == "The text."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'HIDDEN=""', 'data-x="1" class="big nav"', "id=menu", "role = 'navigation'", 'title="a>b"hidden', 'aria-hidden="true"', "a/hidden"])
+def test_html_marks_are_found(attributes):
+    assert html_text.Page(f"<body><p>The text.</p><div {attributes}><p>no</p></div></body>").text(None) == "The text."
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(4)
     items = [prose(rng, rng.randint(15, 50)) for _ in range(20)] + ["What is the salt of the moon? It is the tide of the stone river.", None, ""]
