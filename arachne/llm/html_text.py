@@ -1,4 +1,4 @@
-"""Main text of web pages by consensus: every page's containers are scored, hosts vote on generalised paths, and the winning path extracts."""
+"""Main text of web pages by consensus: every page's containers are scored, hosts vote on generalised paths, and the winning path, widened to the whole article, extracts."""
 
 from __future__ import annotations
 
@@ -36,6 +36,7 @@ ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^
 SPLIT = re.compile(r"[^a-z]+")
 DIGITS = re.compile(r"\d+")
 SPACE = re.compile(r"\s+")
+WORD = re.compile(r"\w")
 CLOSES_P = BLOCKS - {"li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dd", "dt", "body", "html"}
 
 
@@ -44,6 +45,7 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, tuple[int, ...], int]] = []
+        self.plain: list[bool] = []  # whether a block has words outside links
         self.paths: list[str] = []  # the generalised path of each container
         self.tags: list[str] = []
         self._read(source)
@@ -52,17 +54,20 @@ class Page:
         stack: list[tuple[str, str, bool, int]] = []  # tag, path step, skipped from here, container or -1
         buffer: list[str] = []
         linked = 0
+        plain = False
         inside: tuple[int, ...] = ()
         skip = links = 0
 
         def flush() -> None:
-            nonlocal linked
+            nonlocal linked, plain
             if buffer:
                 text = SPACE.sub(" ", html_lib.unescape("".join(buffer))).strip()
                 if text:
                     self.blocks.append((text, inside, linked))
+                    self.plain.append(plain)
                 buffer.clear()
             linked = 0
+            plain = False
 
         def pop() -> None:
             nonlocal skip, links, inside
@@ -79,6 +84,7 @@ class Page:
             if stop > at and not skip:
                 buffer.append(source[at:stop])
                 linked += (stop - at) if links else 0
+                plain = plain or not links and WORD.search(html_lib.unescape(source[at:stop])) is not None
             if not m:
                 break
             at = m.end()
@@ -155,13 +161,29 @@ class Page:
         best = max(total.values(), default=0.0)
         return {p: s / best for p, s in total.items() if best > 0 and s >= 0.5 * best}
 
+    def widened(self, chosen: set[int]) -> set[int] | None:
+        """chosen and, for each article that it lies in, the lowest container of all its blocks with words outside links; None is the page.
+
+        An article is what the outermost main holds, or without one the outermost article, or without both the page.
+        """
+        common: dict[int, tuple[int, ...]] = {}
+        for _, inside, _ in self.blocks:
+            if not chosen.isdisjoint(inside):
+                scope = next((c for tag in ("main", "article") for c in inside if self.tags[c] == tag), -1)
+                common.setdefault(scope, inside)
+        for scope in common:
+            for (_, inside, _), plain in zip(self.blocks, self.plain, strict=True):
+                if (scope < 0 or scope in inside) and (plain or not chosen.isdisjoint(inside)):
+                    common[scope] = tuple(a for a, b in zip(common[scope], inside, strict=False) if a == b)
+        return chosen | {c[-1] for c in common.values()} if all(common.values()) else None
+
     def text(self, path: str | None) -> str:
-        """The blocks in containers of that path; without any, those of the page's own best path; without containers, all."""
+        """The blocks in containers of that path, widened; without any, in those of the page's own best path; without containers, all."""
         votes = self.votes()
         if path is None or path not in self.paths or path not in votes:
             path = min(votes, key=lambda p: (-votes[p], p), default=None)
-        chosen = {i for i, p in enumerate(self.paths) if p == path}
-        return "\n\n".join(t for t, inside, _ in self.blocks if path is None or not chosen.isdisjoint(inside))
+        chosen = None if path is None else self.widened({i for i, p in enumerate(self.paths) if p == path})
+        return "\n\n".join(t for t, inside, _ in self.blocks if chosen is None or not chosen.isdisjoint(inside))
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +205,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """Rows (page_id, url, text, n_chars), one for each row.
 
     First pass: each page votes for its best-scored container paths (tags and classes, digits generalised); votes are
-    summed for each host. Second pass: the host's winner extracts, or where a page lacks it the page's own best. Winning
-    paths are broadcast while they are few, else joined. Cases: null or empty html gives an empty text; a null url, or
+    summed for each host. Second pass: the host's winner extracts, or where a page lacks it the page's own best, widened
+    to the lowest container around all text of the article that is neither marked nor only links. Winning paths are broadcast while they are few, else joined. Cases: null or empty html gives an empty text; a null url, or
     one without host, votes with the others of its kind; ties go to the first path in order; rows that repeat are
     extracted each; broken markup is read as far as it goes; an empty table gives an empty result; other columns are
     ignored.

@@ -181,6 +181,17 @@ def test_html(spark):
     assert html_text.main_text(pages(spark, [])).count() == 0
 
 
+def test_html_articles_spread_over_containers(spark):
+    t = lambda n: ("word " * n).strip()
+    post = f"<body><div class=page><nav>menu</nav><div class=post><div class=lead>{t(20)}</div><div class=body>{t(81)}</div></div><div class=sidebar>no</div></div><div><a href=a>only</a> <a href=b>links</a></div>"
+    deep = f"<body><p>before</p><article><h1>{t(4)}</h1><div><div><div>{t(90)}</div></div></div><p>{t(6)}</p></article><p>after</p>"
+    both = f"<body><p>before</p><main><h1>{t(3)}</h1><article>{t(50)}</article></main>"
+    two = f"<body><article><div class=x><p>{t(30)}</div><p>{t(2)}</article><article><p>{t(3)}<div class=x>{t(40)}</div></article>"
+    rows = [(i, f"http://h{i // 2}/{i}", h) for i, h in enumerate([post, post, deep, deep, both, both, two])]
+    got = {r.page_id: [len(x.split()) for x in r.text.split("\n\n")] for r in html_text.main_text(pages(spark, rows)).collect()}
+    assert got == {0: [20, 81], 1: [20, 81], 2: [4, 90, 6], 3: [4, 90, 6], 4: [3, 50], 5: [3, 50], 6: [30, 2, 3, 40]}
+
+
 @pytest.mark.parametrize("attributes", [
     'style="overflow:hidden"', 'title="the hidden class=menu"', 'data-id="nav"', "data-role='footer'", 'href="/x?id=menu"', "href=/x?id=menu", 'data-hidden', 'x-aria-hidden="true"', 'aria-hidden="false"', 'title = "a" data-class = "sidebar"',
 ])
