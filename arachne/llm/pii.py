@@ -18,6 +18,8 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The same matches as the pattern's, tried once for each run of digits.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 # Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһԛԝвкмнтАВЕКМНОРСТУХІЈЅαορνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwbkmhtABEKMHOPCTYXIJSaopvikABEZHIKMNOPTYX", strict=True))
 # Digits in words.
@@ -28,12 +30,18 @@ SINGLE = {ord(k): v for k, v in LOOKALIKES.items()} | FULL_WIDTH | INVISIBLE
 MAPPED = re.compile("[" + "".join(map(re.escape, map(chr, SINGLE))) + "]")
 
 _WORD = "|".join(DIGIT_WORDS)
-#: At least this many digits in words stand for a number.
-LEAST_SPELLED = 8
-SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ ,.-]+)?(?:(?:{_WORD})[ ,.-]+){{{LEAST_SPELLED - 1},}}(?:{_WORD})(?![A-Za-z0-9])", re.I)
-ONE_DIGIT = re.compile(rf"(plus|{_WORD})[ ,.-]*", re.I)
 _AT, _DOT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+)", r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
 DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}(?:{_AT}|\s*@\s*)[A-Za-z0-9-]{{1,63}}(?:(?:{_DOT}|\.)[A-Za-z0-9-]{{1,63}}){{1,5}}", re.I)
+#: At least this many digits in words in a row are rewritten even if no base span comes of it.
+LEAST_SPELLED = 8
+_TOKEN = rf"(?:[0-9]+|{_WORD})(?![A-Za-z0-9])"
+_GAP = rf"(?>{_DOT}|[ ,.()-]+)"
+#: Digits and digits in words, in any mixture.
+RUN = re.compile(rf"(?<![A-Za-z0-9])(?>(?:plus[ ,.-]+|\+ *)?)(?>{_TOKEN}(?:{_GAP}{_TOKEN})*)", re.I)
+PLUS, TOKEN = re.compile(r"plus[ ,.-]+|\+ *", re.I), re.compile(_TOKEN, re.I)
+SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ ,.-]+)?(?:(?:{_WORD})[ ,.-]+){{{LEAST_SPELLED - 1},}}(?:{_WORD})(?![A-Za-z0-9])", re.I)
+RUN_HINT = re.compile(rf"(?<![A-Za-z])(?:{_WORD}|dot)(?![A-Za-z])|[\[({{<]\s*\.\s*[\])}}>]", re.I)
+STOP = re.compile(r"[,.()]")
 AT, DOT = re.compile(_AT + r"|\s*@\s*", re.I), re.compile(_DOT, re.I)
 HINT = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]|\sdot\s", re.I)
 
@@ -72,8 +80,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 out.append(("email", m.start(), m.end()))
                 last = m.end()
     if digit:
-        for kind in ("ip", "card"):
-            out += [(kind, m.start(), m.end()) for m in PATTERNS[kind].finditer(text, digit.start()) if valid(kind, m[0])]
+        for kind, pattern in (("ip", IP), ("card", PATTERNS["card"])):
+            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text, digit.start()) if valid(kind, m[0])]
         if "+" in text:
             out += [("phone", m.start(), m.end()) for m in PATTERNS["phone"].finditer(text) if valid("phone", m[0])]
     return out
@@ -106,16 +114,61 @@ class Transduced:
         self.text, self.source, self.changed = "".join(out), source, True
 
 
+def _spell(text: str, start: int, end: int, dots: bool) -> list[tuple[int, int, str]]:
+    """Edits that write the run [start, end) in digits. dots: dots between numbers stay, else they go."""
+    edits, last, spelled = [], start, False
+    if m := PLUS.match(text, start, end):
+        edits.append((start, m.end(), "+"))
+        last = m.end()
+    for m in TOKEN.finditer(text, last, end):
+        word = not m[0].isdigit()
+        if m.start() > last:
+            gap = text[last : m.start()]
+            if DOT.fullmatch(gap) or gap == "." and (dots or not (word or spelled)):
+                new = "." if dots or gap == "." else ""
+            else:
+                new = "" if word and spelled else " " if word or spelled else gap
+            if new != gap:
+                edits.append((last, m.start(), new))
+        if word:
+            edits.append((m.start(), m.end(), DIGIT_WORDS[m[0].lower()]))
+        last, spelled = m.end(), word
+    return edits
+
+
+def _covered(text: str, start: int, end: int, edits: list[tuple[int, int, str]]) -> tuple[int, bool]:
+    """Of what edits make of [start, end): the digits in base spans, and whether one is an address."""
+    out, at = [], start
+    for i, j, new in edits:
+        out += [text[at:i], new]
+        at = j
+    made = "".join(out) + text[at:end]
+    spans = find(made)
+    return len({c for _, i, j in spans for c in range(i, j) if made[c].isdigit()}), any(k == "ip" for k, _, _ in spans)
+
+
+def _numbers(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Edits of a run of digits, digits in words and dots: of the readings as one number, as an address, as the parts between
+    stops, and of long spelled parts alone, that with most digits in base spans."""
+    if not RUN_HINT.search(text, start, end):
+        return []
+    spelled = [e for p in SPELLED.finditer(text, start, end) for e in _spell(text, p.start(), p.end(), False)]
+    readings = [_spell(text, start, end, False), _spell(text, start, end, True)]
+    cuts = [m.start() for m in STOP.finditer(text, start, end)]
+    if cuts:
+        parts = [p for i, j in zip([start, *cuts], [*cuts, end], strict=True) if (p := RUN.search(text, i, j))]
+        readings.append([e for p in parts for e in _numbers(text, p.start(), p.end())])
+    return max([spelled, *readings], key=lambda r: _covered(text, start, end, r))
+
+
 def deobfuscate(text: str) -> Transduced:
-    """Look-alike letters and digits, then digits in words, then at and dot in disguise, become what they stand for."""
+    """Look-alike letters and digits, then digits in words, alone or among digits, then at and dot in disguise, become what they stand for."""
     t = Transduced(text)
     if not text.isascii():
         t.rewrite([(m.start(), m.end(), SINGLE[ord(m[0])]) for m in MAPPED.finditer(text)])
     edits = []
-    for m in SPELLED.finditer(t.text):
-        for d in ONE_DIGIT.finditer(t.text, m.start(), m.end()):
-            word = d[1].lower()
-            edits.append((d.start(), min(d.end(), m.end()), "+" if word == "plus" else DIGIT_WORDS[word]))
+    for m in RUN.finditer(t.text) if RUN_HINT.search(t.text) else ():
+        edits += _numbers(t.text, m.start(), m.end())
     t.rewrite(edits)
     if HINT.search(t.text) or "@" in t.text and re.search(r"\s@|@\s", t.text):
         edits = []

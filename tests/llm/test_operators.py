@@ -298,6 +298,27 @@ def test_disguises_inside_an_identifier(text, kind, base, whole):
     assert pii.redact(text) == text.replace(whole, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize(("text", "kind", "whole"), [
+    ("call +1 five five five 123 4567 now", "phone", "+1 five five five 123 4567"), ("call +1 555 one two three four five six seven now", "phone", "+1 555 one two three four five six seven"),
+    ("call +1 (five five five) 123-4567 now", "phone", "+1 (five five five) 123-4567"), ("call plus 1 555 one two three 4567 now", "phone", "plus 1 555 one two three 4567"),
+    ("host one nine two dot one six eight dot zero dot one up", "ip", "one nine two dot one six eight dot zero dot one"), ("host 192 dot one six eight.0[dot]1 up", "ip", "192 dot one six eight.0[dot]1"),
+    ("card 4111 one one one one 1111-one one one one ok", "card", "4111 one one one one 1111-one one one one"), ("12 - " + "four " + "one " * 14 + "one ok", "card", "four " + "one " * 14 + "one"),
+])
+def test_numbers_of_words_and_digits(text, kind, whole):
+    assert (kind, whole) in [(k, text[i:j]) for k, i, j in pii.detect(text)[1]]
+    assert pii.redact(text) == text.replace(whole, f"[{kind.upper()}]")
+
+
+@pytest.mark.parametrize("text", ["one, two. Three. Four or five", "in 12 of one hundred and two dot com firms", "page 3, one of 4 and two-five", "version two dot one"])
+def test_prose_with_digit_words_is_left_alone(text):
+    assert pii.detect(text) == ([], []) and pii.redact(text) == text
+
+
+def test_two_numbers_in_one_run_are_both_found():
+    text = "at 1.2.3.4, " + "four " + "one " * 14 + "one"
+    assert pii.redact(text) == "at [IP], [CARD]"
+
+
 def test_licences(spark):
     rng = random.Random(7)
     named = {3: ("mit", "Released under the MIT License."), 9: ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."), 12: ("apache-2.0", "Licensed under the Apache License, Version 2.0.")}
