@@ -260,8 +260,9 @@ def _first_cells(texts: DataFrame, feats: DataFrame, classes: DataFrame, n: int,
 
     nodes = S.saved(member.groupBy("x").agg(F.sum("k").alias("w")).join(classes.select(F.col("node").alias("x"), "n", "rep", "d1", "d2"), "x"), "nodes")
     ids = nodes.select(F.col("rep").alias("id")).distinct()
-    found = texts.join(S.maybe_broadcast(ids, nodes.count()), "id", "left_semi").mapInArrow(_texts_of(n), "id long, d1 long, d2 long, text string")
-    near, near_at = S.write_out(found.join(nodes.select("x", F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"]).select("x", "text"), "near")
+    many = nodes.count()
+    found = texts.join(S.maybe_broadcast(ids, many), "id", "left_semi").mapInArrow(_texts_of(n), "id long, d1 long, d2 long, text string")
+    near, near_at = S.write_out(found.join(S.maybe_broadcast(nodes.select("x", F.col("rep").alias("id"), "d1", "d2"), many), ["id", "d1", "d2"]).select("x", "text"), "near")
     own = near.mapInArrow(_members(n), "shingle long, x long").groupBy("shingle").agg(F.count("*").alias("holders"), F.min("x").alias("x")).where("holders = 1").groupBy("x").agg(F.count("*").alias("own"))
     able = nodes.select("x", "n", "w").join(own, "x", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
     able = able.where(f"{100 + percent} * s >= {percent} * (n + ({percent} * n + 99) div 100)").select("x", "n", "s", "w")
