@@ -35,13 +35,13 @@ ROUNDS = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 
 
-def _cut(ranks: str, size: int, end_id: int):
+def _cut(vocabulary: str, size: int, end_id: int):
     """Rows PIECES of rows (doc_id, text); uid is unique, from the task and the place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = tokenize.encoder(ranks)
+        encode = tokenize.encoder(vocabulary, special=True)
         uid = TaskContext.get().partitionId() << 34
         for b in batches:
             ids, counts = encode(b.column(1))
@@ -210,14 +210,15 @@ def pack_lengths(pieces: DataFrame, room: int) -> DataFrame:
     return out
 
 
-def pack_documents(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one for each piece of each document.
 
-    A document's ids are those of its text followed by end_id. Only documents longer than size are cut, from their end
+    A document's ids are those of its text by the tokenizers library, which reads the string of a special token as that
+    token, followed by end_id. Only documents longer than size are cut, from their end
     into pieces of size, so that the first may be shorter. Every sequence holds at most size ids, gapless from 0.
     Cases: null or empty text is the single id end_id; rows that repeat an id are packed each; null ids stay null; an
     empty table gives an empty result; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = S.saved(texts.mapInArrow(_cut(ranks, size, end_id), PIECES), "pieces")
+    pieces = S.saved(texts.mapInArrow(_cut(vocabulary, size, end_id), PIECES), "pieces")
     return pieces.join(pack_lengths(pieces.select("uid", "length"), size), "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

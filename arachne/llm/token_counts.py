@@ -23,13 +23,13 @@ BLOCK = 1 << 18
 SPAN = 1024
 
 
-def _write(ranks: str, end_id: int, block: int):
+def _write(vocabulary: str, end_id: int, block: int):
     """Blocks (file, block, data, docs) of the tokenised texts: docs lists the ids of documents that end in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, file, k = tokenize.encoder(ranks), TaskContext.get().partitionId(), 0
+        encode, file, k = tokenize.encoder(vocabulary), TaskContext.get().partitionId(), 0
         rest, ends = np.zeros(0, "<u2"), np.zeros(0, np.int64)
         docs: list = []
 
@@ -45,6 +45,8 @@ def _write(ranks: str, end_id: int, block: int):
 
         for b in batches:
             ids, counts = encode(b.column(1))
+            if max(int(ids.max(initial=0)), end_id) > 0xFFFF:
+                raise ValueError("a token file holds 16-bit ids, and this vocabulary has larger ones")
             at = np.cumsum(counts)
             flat = np.insert(ids, at, end_id).astype("<u2")
             ends = np.concatenate([ends, at + np.arange(len(at)) + len(rest)])
@@ -58,17 +60,21 @@ def _write(ranks: str, end_id: int, block: int):
     return run
 
 
-def write_token_blocks(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 50256, block: int = BLOCK) -> DataFrame:
+def write_token_blocks(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 50256, block: int = BLOCK) -> DataFrame:
     """Tokenises texts into flat files, saved in blocks (file, block, data, docs)."""
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return S.saved(texts.mapInArrow(_write(ranks, end_id, block), "file long, block long, data binary, docs array<long>"), "tokens")
+    return S.saved(texts.mapInArrow(_write(vocabulary, end_id, block), "file long, block long, data binary, docs array<long>"), "tokens")
 
 
 def read_token_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Blocks (path as file, block, data) of flat files of 16-bit ids that lie under path."""
+    """Blocks (path as file, block, data) of flat files of 16-bit ids that lie under path.
+
+    Spark reads a file whole, so one has 2 GB at most; its blocks are cut once. A file with an odd byte at its end is an error.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    cuts = files.select(F.xxhash64("path").alias("file"), "content", F.explode(F.expr(f"sequence(0L, greatest(length(content) - 1, 0) div {2 * block})")).alias("block"))
-    return cuts.select("file", "block", F.expr(f"substring(content, cast(block * {2 * block} + 1 as int), {2 * block})").alias("data"))
+    whole = F.when(F.length("content") % 2 == 0, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("odd length: "), "path")).cast("binary"))
+    cut = F.expr(f"transform(sequence(0L, greatest(length(content) - 1, 0) div {2 * block}), i -> struct(i as block, substring(content, cast(i * {2 * block} + 1 as int), {2 * block}) as data))")
+    return files.select(F.xxhash64("path").alias("file"), whole.alias("content")).select("file", F.inline(cut))
 
 
 def _scan(end_id: int):
@@ -120,12 +126,12 @@ def count_tokens(blocks: DataFrame, end_id: int = 50256) -> DataFrame:
     return seps.select("file", (F.col("seps_0") + F.col("k")).alias("ordinal"), "block", "k", "start", (F.col("at") + F.col("ids_0") - F.col("start")).alias("n_tokens"))
 
 
-def document_token_counts(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 50256) -> DataFrame:
+def document_token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 50256) -> DataFrame:
     """Rows (doc_id, n_tokens, file, ordinal, start): writes flat token files of the texts and counts from them alone.
 
     Cases: null or empty text counts 0; rows that repeat an id are counted each; null ids stay null; an empty table
     gives an empty result; other columns are ignored.
     """
-    blocks = write_token_blocks(docs, ranks, id_col, text_col, end_id)
+    blocks = write_token_blocks(docs, vocabulary, id_col, text_col, end_id)
     names = blocks.select("file", "block", F.posexplode("docs").alias("k", "doc_id"))
     return count_tokens(blocks, end_id).join(names, ["file", "block", "k"]).select("doc_id", "n_tokens", "file", "ordinal", "start")

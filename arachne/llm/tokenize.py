@@ -70,16 +70,26 @@ def starts_of(c: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """ids of texts under a rank file (base64 token, rank), equal to those of the tokenizers library for the same vocabulary."""
+    """ids of texts, equal to those of the tokenizers library for a byte-level vocabulary in its JSON format, without post-processing.
 
-    def __init__(self, ranks: str, pattern: str):
-        import base64
-
-        import tiktoken
+    special: the string of a special token in a text is that token, as by the library's default; else it is ordinary text.
+    """
 
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    def __init__(self, path: str, special: bool):
+        import os
+        import re
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
+        from tokenizers import Tokenizer
+
+        self.bpe = Tokenizer.from_file(path)
+        self.bpe.encode_special_tokens = True  # pre-tokens are ordinary text
+        added = self.bpe.get_added_tokens_decoder() if special else {}
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized or not t.special for t in added.values()):
+            raise ValueError(f"{path}: only plain special tokens are known here")
+        self.special = {t.content: i for i, t in added.items()}
+        longest = sorted(self.special, key=len, reverse=True)
+        self.marks = re.compile(b"|".join(re.escape(x.encode()) for x in longest)) if longest else None
         self._forget()
 
     def _forget(self) -> None:
@@ -91,8 +101,10 @@ class Encoder:
 
     def _learn(self, keys: list[int], texts: list[str]) -> None:
         """Encodes new pre-tokens; each gets the next number."""
-        one = self.bpe._core_bpe.encode_single_piece
-        many = [one(x.encode()) for x in texts]
+        many = [e.ids for e in self.bpe.encode_batch(texts, add_special_tokens=False)]
+        for i, x in enumerate(texts):
+            if x in self.special:
+                many[i] = [self.special[x]]
         k, n = len(self.known), len(keys)
         while k + n > len(self.begin):
             self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
@@ -114,11 +126,31 @@ class Encoder:
         lo = 0
         while lo < len(counts):
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
-            out.append(self._chunk(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], counts[lo:hi]))
+            part, edges = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            cuts, marked = self._cuts(part, edges)
+            if marked is None:
+                out.append(self._chunk(part, edges, counts[lo:hi]))
+            else:  # what stands between special tokens is encoded as a text of its own
+                each = np.zeros(len(cuts) - 1, np.int64)
+                out.append(self._chunk(part, cuts, each, marked))
+                own = np.searchsorted(edges, cuts[:-1], "right") - 1
+                counts[lo:hi] += np.bincount(own[each > 0], weights=each[each > 0], minlength=hi - lo).astype(np.int64)
             lo = hi
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), counts
 
-    def _chunk(self, data: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """(offsets, marked): the texts cut around special tokens, and which of the cuts are such tokens; (offsets, None) without any."""
+        if self.marks is None:
+            return offsets, None
+        inside = np.array([m.span() for m in self.marks.finditer(data.tobytes())], np.int64).reshape(-1, 2)
+        inside = inside[np.searchsorted(offsets, inside[:, 0], "right") == np.searchsorted(offsets, inside[:, 1], "left")]
+        if not len(inside):
+            return offsets, None
+        cuts = np.unique(np.concatenate([offsets, inside.ravel()]))
+        return cuts, np.isin(cuts[:-1], inside[:, 0])
+
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, marked: np.ndarray | None = None) -> np.ndarray:
+        """The ids of the texts that offsets cut from data; adds their numbers to counts. marked: texts that are one special token."""
         if not len(data):
             return np.zeros(0, np.uint32)
         c = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -130,7 +162,11 @@ class Encoder:
         first[at] = True
         first = first[:-1]
         first[0] = True
-        start = np.flatnonzero(starts_of(c, first))
+        begins = starts_of(c, first)
+        if marked is not None:
+            for a, e in zip(at[:-1][marked].tolist(), at[1:][marked].tolist(), strict=True):
+                begins[a + 1 : e] = False
+        start = np.flatnonzero(begins)
         end = np.append(start[1:], len(c))
         keys = K.span_hashes(code_points()[1][c], start, end)
         import pandas as pd
@@ -157,7 +193,5 @@ class Encoder:
 
 
 @cache
-def encoder(ranks: str) -> Encoder:
-    import public_tokenizers
-
-    return Encoder(ranks, public_tokenizers.PATTERN)
+def encoder(path: str, special: bool = False) -> Encoder:
+    return Encoder(path, special)
