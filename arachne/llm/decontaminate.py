@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arachne.llm import kernels as K
-from arachne.llm import shared as S
 
 K1, B = 1.2, 0.75
 #: Share of the question's and of the answer's shingles that the document must hold, in percent.
@@ -36,6 +35,8 @@ POSTING_BLOCK = 16
 BOUND_CELLS = 1 << 23
 #: Items of one index: the size of what is sent to the executors is bounded by this; more items make more indexes.
 INDEX_ITEMS = 20_000
+#: Indexes that a task holds at once; more items make more passes over the corpus.
+PASS_INDEXES = 8
 SLACK = 1e-6
 #: Where an answer begins: at its label at the start of a line, or after a question mark that ends a line.
 ANSWER = re.compile(r"^[ \t]*(?:answer|a|response|solution)[ \t]*:", re.I | re.M)
@@ -200,52 +201,80 @@ def candidates(index: Index, h: np.ndarray, counts: np.ndarray) -> dict[int, set
     return hits
 
 
-def _query(sent, overlap: int, n: int):
+def _found(column: pa.Array, sent: list, overlap: int, n: int) -> Iterator[tuple]:
+    """(place in the column, item id, question hits, question shingles, answer hits, answer shingles) of each leak."""
+    h, counts = K.words(*K.utf8(column))
+    sets: dict[int, np.ndarray] = {}
+    for indexes in sent if len(h) else []:
+        for index in indexes.value:
+            for i, items in candidates(index, h, counts).items():
+                if i not in sets:
+                    sets[i] = K.shingle_sets(column.slice(i, 1), n)[0]
+                for item in sorted(items):
+                    q, a = index.parts[item]
+                    nq, na = K.common(sets[i], q), K.common(sets[i], a)
+                    if 100 * nq >= overlap * len(q) and 100 * na >= overlap * len(a):
+                        yield i, index.items[item], nq, len(q), na, len(a)
+
+
+def _query(sent: list, overlap: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(1)
-            h, counts = K.words(*K.utf8(column))
-            rows, sets = [], {}
-            for index in sent.value if len(h) else []:
-                for i, items in candidates(index, h, counts).items():
-                    if i not in sets:
-                        sets[i] = K.shingle_sets(column.slice(i, 1), n)[0]
-                    for item in sorted(items):
-                        q, a = index.parts[item]
-                        nq, na = K.common(sets[i], q), K.common(sets[i], a)
-                        if 100 * nq >= overlap * len(q) and 100 * na >= overlap * len(a):
-                            rows.append((b.column(0)[i].as_py(), index.items[item], nq, len(q), na, len(a)))
+            rows = [(b.column(0)[i].as_py(), *rest) for i, *rest in _found(b.column(1), sent, overlap, n)]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "question_hits", "question_shingles", "answer_hits", "answer_shingles"])
 
     return run
 
 
+def _clean(sent: list, text_col: str, overlap: int, n: int):
+    """The rows, whole, into which no item leaks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for i, *_ in _found(b.column(text_col).cast(pa.string()), sent, overlap, n):
+                keep[i] = False
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def _passes(benchmark: DataFrame, item_col: str, item_text_col: str, n: int, overlap: int) -> Iterator[list]:
+    """Broadcast indexes of INDEX_ITEMS items each; those of one list go through the corpus in one pass."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    shards = max(1, -(-items.count() // INDEX_ITEMS))
+    for lo in range(0, shards, PASS_INDEXES):
+        part = [items if shards == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k) for k in range(lo, min(lo + PASS_INDEXES, shards))]
+        yield [spark.sparkContext.broadcast(build_indexes([(r.i, r.t) for r in p.toLocalIterator()], n, overlap)) for p in part]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", overlap: int = OVERLAP, n: int = SHINGLE) -> DataFrame:
     """Rows (doc_id, item_id, question_hits, question_shingles, answer_hits, answer_shingles), one for each leak.
 
     An item leaks into a document if the document holds at least overlap percent of the n-word shingles of the item, or
     of its question and of its answer where it marks both (see split_item; the answer's columns are 0 elsewhere), with
-    enough of its words in one passage. Cases: null or empty texts and items leak
-    nothing; an item of fewer than n words counts as one shingle, which only a document of just these words holds; repeated rows give repeated leaks; an item id given twice is two items; an empty table
-    gives an empty result; other columns are ignored.
+    enough of its words in one passage. Cases: null or empty texts and items leak nothing; an item of fewer than n
+    words counts as one shingle, which only a document of just these words holds; very long texts are queried whole, in
+    passages; repeated rows give repeated leaks; a null id stays null; an item id given twice is two items; ties of
+    scores are all retrieved; an empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    total = items.count()
     shape = "doc_id long, item_id long, question_hits long, question_shingles long, answer_hits long, answer_shingles long"
     out = None
-    shards = max(1, -(-total // INDEX_ITEMS))
-    for shard in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == shard)
-        sent = spark.sparkContext.broadcast(build_indexes([(r.i, r.t) for r in part.toLocalIterator()], n, overlap))
+    for sent in _passes(benchmark, item_col, item_text_col, n, overlap):
         found = rows.mapInArrow(_query(sent, overlap, n), shape)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those into which an item leaks; rows with a null id stay."""
-    found = S.saved(leaks(docs, benchmark, id_col, **options).where("doc_id is not null").select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(S.maybe_broadcast(found, found.count()), F.col(id_col).cast("long") == F.col("__leak"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", overlap: int = OVERLAP, n: int = SHINGLE) -> DataFrame:
+    """The rows of docs, in all their columns, into which no item leaks by the rule of leaks().
+
+    Every row is judged by its own text, in the one pass that reads it, so null and repeated ids, repeated rows and
+    columns of any name are no matter. Null and empty texts stay; an empty table gives an empty result.
+    """
+    for sent in _passes(benchmark, item_col, item_text_col, n, overlap):
+        docs = docs.mapInArrow(_clean(sent, text_col, overlap, n), docs.schema)
+    return docs
