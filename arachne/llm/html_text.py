@@ -27,10 +27,12 @@ MARKS = frozenset(
     "comment comments disqus discussion respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended recommendations widget pagination pager toolbar skip copyright legal disclaimer".split()
 )
+#: Depth of the element tree, as in browsers: what is nested deeper belongs to the element there.
+MAX_DEPTH = 512
 #: Weight of a container's name in its score. Parameters.
 NAMED = {"article": 2.0, "main": 1.5}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
 #: The attributes of a tag in order, each a whole name and its value; a stray quoted string has no name.
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
 SPLIT = re.compile(r"[^a-z]+")
@@ -41,21 +43,38 @@ CLOSES_P = BLOCKS - {"li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption
 
 
 class Page:
-    """The blocks of a page and the containers around them. Blocks: (text, containers that hold it, characters in links)."""
+    """The blocks of a page and the containers around them, in time and memory that grow with the page.
+
+    Containers are numbered as they open, so those inside container c are c to last[c]. A block knows its innermost
+    container, or -1. Elements nested deeper than MAX_DEPTH belong to the element there, as in browsers.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple[int, ...], int]] = []
+        self.blocks: list[tuple[str, int, int]] = []  # text, container, characters in links
         self.plain: list[bool] = []  # whether a block has words outside links
-        self.paths: list[str] = []  # the generalised path of each container
         self.tags: list[str] = []
+        self.parent: list[int] = []
+        self.last: list[int] = []
+        self.path: list[int] = []  # number of the generalised path of each container
+        self._steps: list[tuple[int, str]] = []  # of each path: the path before its last step, and the step
         self._read(source)
 
+    def path_text(self, number: int) -> str:
+        steps = []
+        while number >= 0:
+            number, step = self._steps[number]
+            steps.append(step)
+        return "/".join(reversed(steps))
+
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, str, bool, int]] = []  # tag, path step, skipped from here, container or -1
+        stack: list[tuple[str, int, bool, int]] = []  # tag, path, skipped from here, container or -1
+        still: dict[str, int] = {}  # open elements of each tag
+        deep: dict[str, int] = {}  # of those that aren't on the stack
+        known: dict[tuple[int, str], int] = {}
         buffer: list[str] = []
         linked = 0
         plain = False
-        inside: tuple[int, ...] = ()
+        inner = -1
         skip = links = 0
 
         def flush() -> None:
@@ -63,19 +82,21 @@ class Page:
             if buffer:
                 text = SPACE.sub(" ", html_lib.unescape("".join(buffer))).strip()
                 if text:
-                    self.blocks.append((text, inside, linked))
+                    self.blocks.append((text, inner, linked))
                     self.plain.append(plain)
                 buffer.clear()
             linked = 0
             plain = False
 
         def pop() -> None:
-            nonlocal skip, links, inside
+            nonlocal skip, links, inner
             tag, _, skipped, container = stack.pop()
+            still[tag] -= 1
             skip -= skipped
             links -= tag == "a"
             if container >= 0:
-                inside = inside[:-1]
+                self.last[container] = len(self.parent) - 1
+                inner = self.parent[container]
 
         at, end = 0, len(source)
         while at < end:
@@ -92,10 +113,14 @@ class Page:
             if not tag:
                 continue
             if m[1]:  # an end tag
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
                 if tag in BLOCKS:
                     flush()
+                if deep.get(tag):
+                    deep[tag] -= 1
+                    continue
+                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1) if still.get(tag) else -1
                 if depth >= 0 and (tag in BLOCKS or all(stack[i][0] not in BLOCKS for i in range(depth + 1, len(stack)))):
+                    deep.clear()
                     while len(stack) > depth:
                         pop()
                 continue
@@ -109,7 +134,7 @@ class Page:
                 continue
             if tag in CLOSES_P or tag in ("li", "td", "th", "tr"):  # what HTML closes by itself
                 own = {"p"} if tag in CLOSES_P else {tag, "p"}
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if any(still.get(x) for x in own) else ():
                     if stack[i][0] in own:
                         while len(stack) > i:
                             pop()
@@ -126,64 +151,103 @@ class Page:
                     hidden = True
                 if name in ("class", "id") and tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(SPLIT.split(value.lower())):
                     hidden = True
-            step = tag + ("." + ".".join(sorted(DIGITS.sub("#", kind.lower()).split())) if kind and tag != "body" else "")
             skipped = hidden or tag in SKIPPED
-            container = -1
-            if tag in CONTAINERS and not skip and not skipped:
-                container = len(self.paths)
-                self.paths.append("/".join([s[1] for s in stack if s[0] not in ("html",)] + [step]))
-                self.tags.append(tag)
-            stack.append((tag, step, skipped, container))
-            skip += skipped
-            links += tag == "a"
-            if container >= 0:
-                inside = (*inside, container)
+            if len(stack) >= MAX_DEPTH and (skip or not skipped):
+                deep[tag] = deep.get(tag, 0) + 1
+            else:
+                path = stack[-1][1] if stack else -1
+                if tag != "html":
+                    step = tag + ("." + ".".join(sorted(DIGITS.sub("#", kind.lower()).split())) if kind and tag != "body" else "")
+                    above, path = path, known.setdefault((path, step), len(known))
+                    if path == len(self._steps):
+                        self._steps.append((above, step))
+                container = -1
+                if tag in CONTAINERS and not skip and not skipped:
+                    container = len(self.parent)
+                    self.parent.append(inner)
+                    self.last.append(-1)
+                    self.path.append(path)
+                    self.tags.append(tag)
+                    inner = container
+                stack.append((tag, path, skipped, container))
+                still[tag] = still.get(tag, 0) + 1
+                skip += skipped
+                links += tag == "a"
             if tag in RAW:
                 close = re.compile(rf"</{tag}", re.I).search(source, at)
                 at = close.start() if close else end
         flush()
+        while stack:
+            pop()
 
     def scores(self) -> list[float]:
-        """Of each container: its characters outside links; half counts one level up, and so on."""
-        out = [0.0] * len(self.paths)
-        for text, inside, linked in self.blocks:
-            weight = max(0.0, len(text) - 2.0 * linked)
-            for c in reversed(inside):
-                out[c] += weight
-                weight *= 0.7
+        """Of each container: its characters outside links; of an inner container's score 0.7 counts."""
+        out = [0.0] * len(self.parent)
+        for text, c, linked in self.blocks:
+            if c >= 0:
+                out[c] += max(0.0, len(text) - 2.0 * linked)
+        for c in range(len(out) - 1, -1, -1):
+            if self.parent[c] >= 0:
+                out[self.parent[c]] += 0.7 * out[c]
         return [s * NAMED.get(t, 1.0) for s, t in zip(out, self.tags, strict=True)]
 
     def votes(self) -> dict[str, float]:
         """The path of the best container, with 1 for a vote, and of others that come near it."""
-        total: dict[str, float] = {}
-        for path, score in zip(self.paths, self.scores(), strict=True):
+        total: dict[int, float] = {}
+        for path, score in zip(self.path, self.scores(), strict=True):
             total[path] = total.get(path, 0.0) + score
         best = max(total.values(), default=0.0)
-        return {p: s / best for p, s in total.items() if best > 0 and s >= 0.5 * best}
+        return {self.path_text(p): s / best for p, s in total.items() if best > 0 and s >= 0.5 * best}
+
+    def _inside(self, chosen: set[int]) -> list[bool]:
+        """Of each container whether it is or lies in a chosen one."""
+        out: list[bool] = []
+        for c, p in enumerate(self.parent):
+            out.append(c in chosen or p >= 0 and out[p])
+        return out
+
+    def _outermost(self, tag: str) -> list[int]:
+        """Of each container the outermost one of that tag around it, itself included, or -1; one more entry for none."""
+        out: list[int] = []
+        for c, p in enumerate(self.parent):
+            above = out[p] if p >= 0 else -1
+            out.append(above if above >= 0 else c if self.tags[c] == tag else -1)
+        return [*out, -1]
 
     def widened(self, chosen: set[int]) -> set[int] | None:
         """chosen and, for each article that it lies in, the lowest container of all its blocks with words outside links; None is the page.
 
         An article is what the outermost main holds, or without one the outermost article, or without both the page.
         """
-        common: dict[int, tuple[int, ...]] = {}
-        for _, inside, _ in self.blocks:
-            if not chosen.isdisjoint(inside):
-                scope = next((c for tag in ("main", "article") for c in inside if self.tags[c] == tag), -1)
-                common.setdefault(scope, inside)
-        for scope in common:
-            for (_, inside, _), plain in zip(self.blocks, self.plain, strict=True):
-                if (scope < 0 or scope in inside) and (plain or not chosen.isdisjoint(inside)):
-                    common[scope] = tuple(a for a, b in zip(common[scope], inside, strict=False) if a == b)
-        return chosen | {c[-1] for c in common.values()} if all(common.values()) else None
+        inside = [*self._inside(chosen), False]
+        mains, articles = self._outermost("main"), self._outermost("article")
+        scopes = {mains[c] if mains[c] >= 0 else articles[c] for _, c, _ in self.blocks if inside[c]}
+        reach: dict[int, tuple[int, int]] = {}  # of each scope the first and the last container of its blocks
+        for (_, c, _), plain in zip(self.blocks, self.plain, strict=True):
+            if plain or inside[c]:
+                for scope in {-1, mains[c], articles[c]} & scopes:
+                    lo, hi = reach.get(scope, (c, c))
+                    reach[scope] = min(lo, c), max(hi, c)
+        out = set(chosen)
+        for lo, hi in reach.values():
+            while lo >= 0 and self.last[lo] < hi:
+                lo = self.parent[lo]
+            if lo < 0:
+                return None
+            out.add(lo)
+        return out
 
     def text(self, path: str | None) -> str:
         """The blocks in containers of that path, widened; without any, in those of the page's own best path; without containers, all."""
         votes = self.votes()
-        if path is None or path not in self.paths or path not in votes:
+        if path is None or path not in votes:
             path = min(votes, key=lambda p: (-votes[p], p), default=None)
-        chosen = None if path is None else self.widened({i for i, p in enumerate(self.paths) if p == path})
-        return "\n\n".join(t for t, inside, _ in self.blocks if chosen is None or not chosen.isdisjoint(inside))
+        chosen = None
+        if path is not None:
+            same = {p for p in set(self.path) if self.path_text(p) == path}
+            chosen = self.widened({i for i, p in enumerate(self.path) if p in same})
+        inside = None if chosen is None else [*self._inside(chosen), False]
+        return "\n\n".join(t for t, c, _ in self.blocks if inside is None or inside[c])
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +270,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     First pass: each page votes for its best-scored container paths (tags and classes, digits generalised); votes are
     summed for each host. Second pass: the host's winner extracts, or where a page lacks it the page's own best, widened
-    to the lowest container around all text of the article that is neither marked nor only links. Winning paths are broadcast while they are few, else joined. Cases: null or empty html gives an empty text; a null url, or
-    one without host, votes with the others of its kind; ties go to the first path in order; rows that repeat are
-    extracted each; broken markup is read as far as it goes; an empty table gives an empty result; other columns are
-    ignored.
+    to the lowest container around all text of the article that is neither marked nor only links. Winning paths are
+    broadcast while they are few, else joined. Cases: null or empty html gives an empty text; a null url, or one without
+    host, votes with the others of its kind; ties go to the first path in order; rows that repeat, and null ids, are
+    extracted each; broken markup is read as far as it goes; very long and very deep pages are read whole, in time that
+    grows with the page; an empty table gives an empty result; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("host", F.expr(urls.host("url")))
