@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,28 +24,43 @@ PATTERNS = {
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 # Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһԛԝвкмнтАВЕКМНОРСТУХІЈЅαορνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwbkmhtABEKMHOPCTYXIJSaopvikABEZHIKMNOPTYX", strict=True))
-# Digits in words.
-DIGIT_WORDS = {w: str(d) for d, words in enumerate(("zero oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")) for w in words.split()}
+# Digits in words, English, French, Spanish, German.
+DIGIT_WORDS = {
+    w: str(d)
+    for d, words in enumerate((
+        "zero oh zéro cero null", "one un une uno eins", "two deux dos zwei", "three trois tres drei", "four quatre cuatro vier",
+        "five cinq cinco fünf", "six seis sechs", "seven sept siete sieben", "eight huit ocho acht", "nine neuf nueve neun",
+    ))
+    for w in words.split()
+}
+# How the two signs of an address are read out, and what announces an address.
+AT_WORDS, DOT_WORDS = "at|arobase|arroba", "dot|point|punto|punkt"
+CUES = re.compile(r"(?<!\w)(?:e-?mails?|mail(?:to|ed)?|contact|contacto|contacter|write|reach|courriel|correo|adresse|address|schreib\w*|escrib\w*|écri\w*)(?!\w)", re.I)
+#: Characters before a disguise of plain words within which a cue must stand.
+CUE_REACH = 40
 INVISIBLE = dict.fromkeys([*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD], "")
 FULL_WIDTH = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-SINGLE = {ord(k): v for k, v in LOOKALIKES.items()} | FULL_WIDTH | INVISIBLE
+#: Decimal digits of every script, by their value.
+DIGITS = {c: str(v) for c in range(0x80, 0x20000) if (v := unicodedata.decimal(chr(c), None)) is not None}
+SINGLE = {ord(k): v for k, v in LOOKALIKES.items()} | FULL_WIDTH | DIGITS | INVISIBLE
 MAPPED = re.compile("[" + "".join(map(re.escape, map(chr, SINGLE))) + "]")
 
-_WORD = "|".join(DIGIT_WORDS)
-_AT, _DOT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+)", r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
+_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+_AT, _DOT = rf"(?:\s*[\[({{<]\s*(?:{AT_WORDS}|@)\s*[\])}}>]\s*|\s+(?:{AT_WORDS})\s+)", rf"(?:\s*[\[({{<]\s*(?:{DOT_WORDS}|\.)\s*[\])}}>]\s*|\s+(?:{DOT_WORDS})\s+)"
 DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}(?:{_AT}|\s*@\s*)[A-Za-z0-9-]{{1,63}}(?:(?:{_DOT}|\.)[A-Za-z0-9-]{{1,63}}){{1,5}}", re.I)
 #: At least this many digits in words in a row are rewritten even if no base span comes of it.
 LEAST_SPELLED = 8
-_TOKEN = rf"(?:[0-9]+|{_WORD})(?![A-Za-z0-9])"
+_TOKEN = rf"(?:[0-9]+|{_WORD})(?!\w)"
 _GAP = rf"(?>{_DOT}|[ ,.()-]+)"
 #: Digits and digits in words, in any mixture.
-RUN = re.compile(rf"(?<![A-Za-z0-9])(?>(?:plus[ ,.-]+|\+ *)?)(?>{_TOKEN}(?:{_GAP}{_TOKEN})*)", re.I)
+RUN = re.compile(rf"(?<!\w)(?>(?:plus[ ,.-]+|\+ *)?)(?>{_TOKEN}(?:{_GAP}{_TOKEN})*)", re.I)
 PLUS, TOKEN = re.compile(r"plus[ ,.-]+|\+ *", re.I), re.compile(_TOKEN, re.I)
-SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ ,.-]+)?(?:(?:{_WORD})[ ,.-]+){{{LEAST_SPELLED - 1},}}(?:{_WORD})(?![A-Za-z0-9])", re.I)
-RUN_HINT = re.compile(rf"(?<![A-Za-z])(?:{_WORD}|dot)(?![A-Za-z])|[\[({{<]\s*\.\s*[\])}}>]", re.I)
+SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,.-]+)?(?:(?:{_WORD})[ ,.-]+){{{LEAST_SPELLED - 1},}}(?:{_WORD})(?!\w)", re.I)
+#: Two numbers in a row of which one is a word, or a dot in disguise between two.
+RUN_HINT = re.compile(rf"(?<!\w)(?:{_WORD}){_GAP}(?:[0-9]|(?:{_WORD})(?!\w))|[0-9]{_GAP}(?:{_WORD})(?!\w)|[0-9]{_DOT}[0-9]", re.I)
 STOP = re.compile(r"[,.()]")
 AT, DOT = re.compile(_AT + r"|\s*@\s*", re.I), re.compile(_DOT, re.I)
-HINT = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]|\sdot\s", re.I)
+HINT = re.compile(rf"[\[({{<]\s*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s*[\])}}>]|\s(?:{DOT_WORDS})\s", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -88,30 +105,33 @@ def find(text: str) -> list[tuple[str, int, int]]:
 
 
 class Transduced:
-    """A text being rewritten; source[i] is the span of the original that character i comes from."""
+    """A text being rewritten; lo[i] and hi[i] bound the span of the original that character i comes from."""
 
     def __init__(self, text: str):
         self.text = text
-        self.source: list[tuple[int, int]] | range = range(len(text))
-        self.changed = False
+        self.lo = self.hi = None  # until something is rewritten, each character stands for itself
+
+    @property
+    def changed(self) -> bool:
+        return self.lo is not None
 
-    def _span(self, i: int, j: int) -> tuple[int, int]:
-        if isinstance(self.source, range):
-            return i, j
-        return self.source[i][0], self.source[j - 1][1]
+    def span(self, i: int, j: int) -> tuple[int, int]:
+        return (i, j) if self.lo is None else (int(self.lo[i]), int(self.hi[j - 1]))
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Puts the strings in place of the spans, which come in order and don't overlap; each new character stands for all of its span."""
         if not edits:
             return
-        out, source, at = [], [], 0
+        lo, hi = (np.arange(len(self.text)), np.arange(1, len(self.text) + 1)) if self.lo is None else (self.lo, self.hi)
+        out, los, his, at = [], [], [], 0
         for i, j, new in edits:
             out += [self.text[at:i], new]
-            source += [self._span(k, k + 1) for k in range(at, i)] + [self._span(i, j)] * len(new)
+            los += [lo[at:i], np.full(len(new), lo[i])]
+            his += [hi[at:i], np.full(len(new), hi[j - 1])]
             at = j
         out.append(self.text[at:])
-        source += [self._span(k, k + 1) for k in range(at, len(self.text))]
-        self.text, self.source, self.changed = "".join(out), source, True
+        self.lo, self.hi = np.concatenate([*los, lo[at:]]), np.concatenate([*his, hi[at:]])
+        self.text = "".join(out)
 
 
 def _spell(text: str, start: int, end: int, dots: bool) -> list[tuple[int, int, str]]:
@@ -174,9 +194,10 @@ def deobfuscate(text: str) -> Transduced:
         edits = []
         for m in DISGUISED.finditer(t.text):
             own = sorted([(a.start(), a.end(), "@") for a in AT.finditer(t.text, m.start(), m.end())][:1] + [(d.start(), d.end(), ".") for d in DOT.finditer(t.text, m.start(), m.end())])
-            plain = sum(t.text[i:j].strip().isalpha() for i, j, _ in own)
-            if plain == len(own) and not any(s == "." for _, _, s in own):
-                continue  # "at" alone, as in prose before a name with a dot, is no disguise
+            if all(t.text[i:j].strip().isalpha() for i, j, _ in own):
+                # Plain words alone, as prose has them too, are a disguise only with a read-out dot after a cue.
+                if not any(s == "." for _, _, s in own) or not CUES.search(t.text, max(0, m.start() - CUE_REACH), m.start()):
+                    continue
             edits += own
         t.rewrite(edits)
     return t
@@ -193,10 +214,12 @@ def detect(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str
     t = deobfuscate(text)
     every = list(base)
     if t.changed:
-        for kind, i, j in find(t.text):
-            lo, hi = t._span(i, j)
-            if not any(b <= lo and hi <= e for _, b, e in every):
-                every.append((kind, lo, hi))
+        added = [(kind, *t.span(i, j)) for kind, i, j in find(t.text)]
+        reach = -1
+        for own, span in sorted([(0, s) for s in base] + [(1, s) for s in added], key=lambda x: (x[1][1], -x[1][2], x[0])):
+            if own and span[2] > reach:
+                every.append(span)
+            reach = max(reach, span[2])
         every.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
     return base, every
 
@@ -234,7 +257,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     The counts and the digest are those of the base patterns; spans (kind:start:end in code points, comma-joined) also
     holds what deobfuscation adds. Cases: null or empty text has no spans; spans of different kinds may overlap in the
-    base; rows that repeat, and null ids, are scanned each; an empty table gives an empty result; other columns are
+    base; very long texts are scanned whole, in time that grows with the text and its spans; ties of spans are kept once;
+    rows that repeat, and null ids, are scanned each; an empty table gives an empty result; other columns are
     ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -249,6 +273,8 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every detected span replaced by its kind; all other columns as they are. A null text stays null."""
+    """docs with every detected span replaced by its kind; all other columns as they are, whatever their names. A null text
+    stays null, an empty one empty; each row is rewritten by itself, so repeated rows and ids and null ids are no matter;
+    very long texts are rewritten whole; an empty table gives an empty result."""
     renamed = docs.withColumnRenamed(text_col, "__text")
     return renamed.mapInArrow(_redact, renamed.schema).withColumnRenamed("__text", text_col)
