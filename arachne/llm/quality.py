@@ -49,11 +49,14 @@ def repeated_words(words: str) -> str:
     """SQL: the words that lie in a 5-word window that the text holds twice or more.
 
     Each window is one long: its hash above, its place in as many low bits as the text needs. Sorting brings equal
-    windows together; their places, sorted again, give the words they cover.
+    windows together, and the words of neighbours with equal hashes are compared, as in a text of a million words the
+    hash has 44 bits; the places of equal ones, sorted again, give the words they cover.
     """
     window = ", ".join(f"w[i + {k}]" for k in range(5))
     keys = f"sort_array(transform(sequence(0, size(w) - 5), i -> shiftleft(xxhash64({window}), b) | cast(i as long)))"
-    places = f"sort_array(transform(filter(p, (x, j) -> coalesce(shiftright(x, b) = shiftright(get(p, j - 1), b), false) or coalesce(shiftright(x, b) = shiftright(get(p, j + 1), b), false)), x -> x & (shiftleft(1L, b) - 1L)))"
+    place = "cast({0} & (shiftleft(1L, b) - 1L) as int)".format
+    equal = lambda y: f"coalesce(shiftright(x, b) = shiftright({y}, b) and slice(w, {place('x')} + 1, 5) = slice(w, {place(y)} + 1, 5), false)"
+    places = f"sort_array(transform(filter(p, (x, j) -> {equal('get(p, j - 1)')} or {equal('get(p, j + 1)')}), x -> x & (shiftleft(1L, b) - 1L)))"
     cover = "aggregate(transform(s, (x, j) -> least(5L, coalesce(get(s, j + 1) - x, 5L))), 0L, (acc, x) -> acc + x)"
     body = _let("cast(length(bin(size(w))) as int)", "b", _let(keys, "p", _let(places, "s", cover)))
     return _let(words, "w", f"if(size(w) < 5, 0L, {body})")
@@ -96,8 +99,9 @@ def verdict(rules=RULES) -> Column:
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), one for each row.
 
-    Cases: null, empty or blank text has no words and fails the base rule; rows that repeat an id, and null ids, are
-    judged each; an empty table gives an empty result; other columns are ignored.
+    Cases: null, empty or blank text has no words and fails the base rule; very long texts are measured whole; there are
+    no ties, as each row is judged by itself, rows that repeat an id and null ids too; an empty table gives an empty
+    result; other columns are ignored.
     """
     m = measures(docs, id_col, text_col)
     m = m.withColumn("base_failed", F.expr(FAILED)).withColumn("kept", ~F.col("base_failed") & verdict(rules))
@@ -105,7 +109,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
-    """docs' rows that neither the base rule nor the table rejects, with all their columns."""
+    """docs' rows that neither the base rule nor the table rejects, with all their columns, whatever their names. The cases are those of quality(): what it doesn't keep goes."""
     m = measures(docs, id_col, text_col, "struct(*)")
     return m.where(~F.expr(FAILED) & verdict(rules)).select("row.*")
 
