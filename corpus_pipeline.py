@@ -7,33 +7,46 @@ from pyspark.sql import functions as F
 
 from arachne.llm import decontaminate, near_dup, packing, pii, quality
 from arachne.llm import shared as S
-from arachne.llm.queries import ranks, table
+from arachne.llm.queries import table, vocabulary
+
+#: The number of a row within the stage that tells copies apart.
+ROW = "__row"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. A kept row is judged by its own text, so repeated ids are no matter."""
+    """Documents that the rules keep. Each row is judged by its own text: null, empty and too short ones go, very long ones are read whole, and repeated or null ids are no matter."""
     return quality.keep_documents(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of exact or near copies the document with the smallest id; rows with a null id stay."""
-    groups = near_dup.jaccard_components(docs).where("doc_id is not null")
-    drop = S.saved(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(S.maybe_broadcast(drop, drop.count()), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of exact or near copies one row: that with the smallest id, null ids last.
+
+    Rows are told apart by a number of their own, so of rows that repeat an id each is judged by its text, and rows with
+    a null id take part. Texts without words are copies of nothing and stay.
+    """
+    rows = S.saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    groups = S.saved(near_dup.jaccard_components(rows, ROW), "groups").select(ROW, "component_id")
+    copied = groups.where(F.col(ROW) != F.col("component_id")).select("component_id").distinct()
+    members = groups.join(copied, "component_id", "left_semi").join(rows.select(ROW, "doc_id"), ROW)
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("kept"))
+    drop = S.saved(members.join(kept, "component_id").where(F.col(ROW) != F.col(f"kept.{ROW}")).select(ROW), "copies")
+    return rows.join(S.maybe_broadcast(drop, drop.count()), ROW, "left_anti").select(docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaks; each row is judged by its own whole text."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind, n_chars counted again."""
+    """All documents, personal data in their whole texts replaced by its kind, n_chars counted again; a null text stays null."""
     out = pii.redact_documents(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, ranks())
+    """The pieces of all documents in sequences; see packing.pack_documents for its cases."""
+    return packing.pack_documents(docs, vocabulary())
 
 
 STAGES = [
