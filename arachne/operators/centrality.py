@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arachne.operators.graph import PropertyGraph
-from arachne.plans.iterate import checkpoint
+from arachne.plans.iterate import checkpoint, remove
 
 
 def betweenness(g: PropertyGraph, normalization: str = "double") -> DataFrame:
@@ -67,29 +67,32 @@ def eigenvector(g: PropertyGraph, max_iter: int = 100, tol: float = 1e-6, fixed_
 def pagerank(g: PropertyGraph, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6, fixed_iters: int | None = None, every: int = 5) -> DataFrame:
     """(id, rank): unweighted; a node without out-edges gives its rank to all. Stops when the L1 change falls below tol.
 
-    fixed_iters: exactly so many rounds, without asking for the change. Lineage is cut every few rounds.
+    fixed_iters: exactly so many rounds, without asking for the change. Each round is one join: every node has a loop
+    without weight, so that it is there even if nothing leads to it, and no plan holds the ranks twice. Lineage is cut
+    every few rounds; with nodes without out-edges every round, as their ranks' sum is then asked for.
     """
-    a = g.adjacency().select("src", "dst").distinct()
-    out = a.groupBy("src").agg(F.count("*").alias("out"))
-    a = checkpoint(a.join(out, "src"))
     n = g.num_nodes()
     if not n:
         return g.nodes.select("id", F.lit(0.0).alias("rank"))
-    nodes = g.nodes.select("id").join(out, F.col("id") == F.col("src"), "left").select("id", F.col("out").isNull().alias("sink"))
-    x = checkpoint(nodes.withColumn("rank", F.lit(1.0 / n)))
-    has_sinks = not x.where("sink").isEmpty()
+    a = g.adjacency().select("src", "dst").distinct()
+    out = a.groupBy("src").agg(F.count("*").alias("out"))
+    step = checkpoint(a.join(out, "src").select("src", "dst", (1 / F.col("out")).alias("w")).union(g.nodes.select("id", "id", F.lit(0.0))))
+    sinks = checkpoint(g.nodes.select("id").join(out, F.col("id") == F.col("src"), "left_anti"))
+    has_sinks = not sinks.isEmpty()
+    last = x = checkpoint(g.nodes.select("id", F.lit(1.0 / n).alias("rank")))
     for k in range(1, (fixed_iters or max_iter) + 1):
-        got = a.join(x.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        new = x.join(got, F.col("id") == F.col("dst"), "left")
-        if has_sinks:
-            new = new.join(F.broadcast(x.agg(F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)).alias("lost"))))
-        else:
-            new = new.withColumn("lost", F.lit(0.0))
-        new = new.select("id", "sink", F.expr(f"{1 - alpha} / {n} + {alpha} * (coalesce(got, 0D) + lost / {n})").alias("rank"), F.col("rank").alias("old"))
-        if fixed_iters is None or k % every == 0 or k == fixed_iters:
+        lost = (x.join(sinks, "id", "left_semi").agg(F.sum("rank")).first()[0] or 0.0) if has_sinks else 0.0
+        got = step.join(x, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("rank")).alias("got"))
+        new = got.select("id", (F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.col("got")).alias("rank"))
+        if fixed_iters is None:
             new = checkpoint(new)
-            if fixed_iters is None and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tol:
-                x = new.drop("old")
+            change = new.join(x.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            remove(x)
+            x = new
+            if change < tol:
                 break
-        x = new.drop("old")
-    return x.select("id", "rank")
+        else:
+            x = new
+            if has_sinks or k % every == 0 or k == fixed_iters:
+                last = x = checkpoint(x, last)
+    return x

@@ -1,29 +1,38 @@
-"""The driver loop of iterative operators: rounds of joins and aggregations over DataFrames, with lineage cut in the shared folder."""
+"""Lineage of iterative operators, cut by tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed and written to the checkpoint folder (spark.checkpoint.dir, or a temporary one where that is unset)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="arachne-"))
-    return df.checkpoint(eager=True)
-
-
-def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, done: Callable[[DataFrame, DataFrame], bool] | None = None, every: int = 5) -> DataFrame:
-    """step applied up to rounds times. Lineage is cut every few rounds; done(old, new) is asked then, or each round if every is 1."""
-    last = state = checkpoint(state)
-    for k in range(rounds):
-        state = step(state, k)
-        if (k + 1) % every == 0 or k + 1 == rounds:
-            state = checkpoint(state)
-            if done is not None and done(last, state):
-                break
-            last = state
-    return state
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder in local mode (tests), and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="arachne-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def remove(*tables: DataFrame | None) -> None:
+    """Delete tables of checkpoint() that nothing reads any more."""
+    for df in tables:
+        if df is not None and hasattr(df, "_kept_at"):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def checkpoint(df: DataFrame, *spent: DataFrame | None) -> DataFrame:
+    """df, computed and written to the shared folder, and read from there. spent: such tables that only df has still to read."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/arachne/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    remove(*spent)
+    return out
