@@ -1,4 +1,4 @@
-"""TF-IDF, triple extraction, hybrid retrieval, associative memory, task plans and the sandbox layout."""
+"""TF-IDF, triple extraction, ingestion, hybrid retrieval, associative memory, task plans and the sandbox layout."""
 
 from __future__ import annotations
 
@@ -43,27 +43,34 @@ def vector_query(index: DataFrame, docs: DataFrame, query: str, top_k: int = 2,
     return scored.select("doc_id", score).orderBy(F.desc("score"), "doc_id").limit(top_k)
 
 
-# The relations that sentences state. A relation phrase, what it is stored as.
-RELATIONS = (("works at", "works_at"), ("located in", "located_in"), ("knows", "knows"), ("founded", "founded"), ("develops", "develops"), ("partner of", "partner_of"))
+# How a statement and a copula read. Groups: subject, predicate, object; subject, class.
+STATEMENT = r"\b([A-Z][a-zA-Z]+)\s+([a-z_]+)\s+([A-Z][a-zA-Z\s0-9]+?)(?=\.|,|and|\s+is\b|\s+was\b|$)"
+COPULA = r"\b([A-Z][a-zA-Z]+)\s+is\s+(?:a|an)?\s*([a-zA-Z\s]+?)(?=\.|,|$)"
 
 
-def extract_triples(docs: DataFrame, text_col: str = "text", strict: bool = True) -> DataFrame:
-    """(chunk fields, s, p, o) of "X relation Y" and "X is a Y" sentences.
+def extract_triples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(other columns, s, p, o): a row for each statement "Name predicate Name" and each "Name is a class" of each text.
 
-    A subject is a run of capitalised words, an object runs to the next full stop, comma or, for relations, the word
-    and. Not strict: "and" also ends an object inside a word, and "is a" is tried before "is an".
+    A statement's predicate is any one lower-case word. Its object runs to the next full stop, comma, "and" (inside a
+    word too: "Thailand" ends at "Thail"), "is" or "was"; a copula's class runs to the next stop or comma, becomes
+    one word with "_", and keeps the n of "an". A null text has none.
     """
-    end = r"(?=\s+and\b|[.,;\n]|$)" if strict else r"(?=\s*and|[.,;\n]|$)"
-    name = r"\b(\p{Lu}[\w]*(?:[ ]\p{Lu}[\w]*)*)"
-    phrases = "|".join(p.replace(" ", r"[ ]") for p, _ in RELATIONS)
-    stated = rf"(?U){name}[ ]+(?:is[ ])?({phrases})[ ]+(.+?){end}"
-    copula = rf"(?U){name}[ ]+is[ ]+(?:an[ ]|a[ ]|the[ ]){'' if strict else '?'}([^.,\n]+)" if strict else rf"(?U){name}[ ]+is[ ]+(?:a|an)?[ ]*([^.,\n]+)"
-    group = lambda p, i: F.regexp_extract_all(F.col(text_col), F.lit(p), F.lit(i))
-    lookup = F.create_map(*[F.lit(x) for p in RELATIONS for x in p])
-    keep = [c for c in docs.columns if c != text_col]
-    one = docs.select(*keep, F.explode(F.arrays_zip(group(stated, 1).alias("s"), group(stated, 2).alias("p"), group(stated, 3).alias("o"))).alias("t")).select(*keep, "t.s", lookup[F.col("t.p")].alias("p"), F.trim("t.o").alias("o"))
-    two = docs.select(*keep, F.explode(F.arrays_zip(group(copula, 1).alias("s"), group(copula, 2).alias("o"))).alias("t")).select(*keep, "t.s", F.lit("is_a").alias("p"), F.trim("t.o").alias("o"))
-    return one.union(two).where("o <> ''")
+    keep = [F.col(c) for c in docs.columns if c != text_col]
+    group = lambda p, i: F.regexp_extract_all(F.col(text_col), F.lit("(?U)" + p), F.lit(i))
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    stated = docs.select(*keep, F.explode(F.arrays_zip(*[group(STATEMENT, i + 1).alias(x) for i, x in enumerate("spo")])).alias("_t")).select(*keep, "_t.s", "_t.p", trimmed("_t.o").alias("o"))
+    copulas = docs.select(*keep, F.explode(F.arrays_zip(*[group(COPULA, i + 1).alias(x) for i, x in enumerate("so")])).alias("_t"))
+    return stated.union(copulas.select(*keep, "_t.s", F.lit("is_a"), F.replace(trimmed("_t.o"), F.lit(" "), F.lit("_"))))
+
+
+def ingest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(chunks, index, triples, sources) of documents: (doc_id, chunk, text), the TF-IDF index by chunk_id "doc_id:chunk",
+    (s, p, o) once each, and provenance (entity, doc_id, chunk): where a subject or object was stated."""
+    parts = chunks(docs, id_col, text_col)
+    stated = extract_triples(parts)
+    index = tfidf(parts.select(F.concat_ws(":", "doc_id", "chunk").alias("chunk_id"), "text"), "chunk_id").withColumnRenamed("doc_id", "chunk_id")
+    sources = stated.select(F.explode(F.array("s", "o")).alias("entity"), "doc_id", "chunk").distinct()
+    return parts, index, stated.select("s", "p", "o").distinct(), sources
 
 
 def neighbourhood(triples: DataFrame, seeds: DataFrame, max_hops: int = 2) -> DataFrame:
@@ -95,16 +102,33 @@ def hybrid_retrieve(docs: DataFrame, triples: DataFrame, query: str, top_k: int
     return top, neighbourhood(triples, seeds, max_hops)
 
 
-def grounded_answer(docs: DataFrame, triples: DataFrame, query: str, **options) -> str:
-    """A sentence from the first fitting fact, in order of (s, p, o), or from the facts at hand, and the start of the best chunk."""
+# The parts of an answer, and the facts that tell a place.
+CONTEXT = "======= GROUNDED CONTEXT =======\n[Unstructured Chunks]:\n{chunks}\n\n[Structured Knowledge Graph Paths]:\n{facts}\n================================\n\n[User Query]: {query}\n\n[GraphRAG Grounded Response]:"
+PLACE = "Based on the Knowledge Graph paths, we know that {s} is associated with {o} via a '{p}' relationship."
+NO_PLACE = "I searched the vector chunks and graph relations, but could not find a specific location."
+GENERAL = "Using hybrid retrieval, I synthesized information from the vector text and graph relationships."
+CITED = "According to the retrieved documents: '{text}...'"
+PLACES = ("located_in", "works_at")
+
+
+def grounded_answer(docs: DataFrame, triples: DataFrame, query: str, most_facts: int = 1000, **options) -> str:
+    """The context (best chunks, facts in order of (s, p, o)) and an answer from it.
+
+    A query for a place ("where", "located") is answered by the first fact that tells one, or says that there is none;
+    any other query by a general sentence. The best chunk's first 80 characters are cited. The context quotes at most
+    most_facts facts; the place is looked for among all.
+    """
     top, facts = hybrid_retrieve(docs, triples, query, **options)
-    asks_place = "where" in query.lower() or "located" in query.lower()
-    rows = facts.orderBy("s", "p", "o").limit(50).collect()  # the answer quotes a few
-    if asks_place:
-        rows = [r for r in rows if r.p in ("located_in", "works_at")] or rows
-    stated = f"{rows[0].s} {rows[0].p.replace('_', ' ')} {rows[0].o}." if rows else "No fact is known."
-    best = top.orderBy(F.desc("score"), "doc_id").first()
-    return f"{stated} Source: {best.text[:80]}" if best else stated
+    best = top.orderBy(F.desc("score"), "doc_id").collect()  # top_k rows
+    quoted = facts.orderBy("s", "p", "o").limit(most_facts).collect()
+    answer = [GENERAL]
+    if "where" in query.lower() or "located" in query.lower():
+        place = facts.where(F.col("p").isin(*PLACES)).orderBy("s", "p", "o").first()
+        answer = [PLACE.format(s=place.s, p=place.p, o=place.o) if place else NO_PLACE]
+    if best:
+        answer.append(CITED.format(text=best[0].text[:80]))
+    context = CONTEXT.format(chunks="\n".join(f"- {r.text}" for r in best), facts="\n".join(f"- ({r.s}) --[{r.p}]--> ({r.o})" for r in quoted), query=query)
+    return context + "\n" + " ".join(answer)
 
 
 def memory_strengths(episodes: DataFrame) -> DataFrame:
