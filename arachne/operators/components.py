@@ -76,6 +76,15 @@ def strongly_connected(g: PropertyGraph) -> DataFrame:
     return done if done is not None else g.nodes.select("id", F.col("id").alias("component"))
 
 
+def condensation(g: PropertyGraph) -> DataFrame:
+    """(id, component, level): strongly connected components, and their topological level: each edge between two of them goes to a higher one."""
+    parts = checkpoint(strongly_connected(g))
+    ends = g.adjacency().select("src", "dst").distinct().join(parts.toDF("src", "a"), "src").join(parts.toDF("dst", "b"), "dst")
+    between = ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    levels = topological_levels(PropertyGraph.from_edges(between, True, parts.select(F.col("component").alias("id")).distinct()))
+    return parts.join(levels.toDF("component", "level"), "component").select("id", "component", "level")
+
+
 def topological_levels(g: PropertyGraph, strict: bool = True) -> DataFrame:
     """(id, level): 0 without in-edges, else one more than the highest source. Raises ValueError on a cycle; not strict: leaves its nodes out."""
     if not g.directed:

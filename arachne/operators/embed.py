@@ -25,7 +25,7 @@ def transition_probabilities(g: PropertyGraph, p: float = 1.0, q: float = 1.0) -
     return rows.select("t", "v", "x", (F.col("w") / F.sum("w").over(Window.partitionBy("t", "v"))).alias("prob"))
 
 
-def walks(g: PropertyGraph, num: int = 10, length: int = 5, p: float = 1.0, q: float = 1.0, seed: int = 7) -> DataFrame:
+def walks(g: PropertyGraph, num: int = 5, length: int = 10, p: float = 1.0, q: float = 1.0, seed: int = 7) -> DataFrame:
     """(start, walk, pos, id): num biased walks of up to length nodes from every node, all advanced together.
 
     The next node is the smallest of exponential variates over the weights, drawn from hashes of the seed, the walk and
@@ -93,13 +93,14 @@ def _sgd(pairs: np.ndarray, n: int, dim: int, epochs: int, lr: float, negatives:
 
 
 def _train(pairs: DataFrame, nodes: DataFrame, dim: int, epochs: int, lr: float, batch: int, seed: int, shared: bool) -> DataFrame:
+    pairs = checkpoint(pairs)
+    if pairs.count() > MAX_PAIRS or nodes.count() > MAX_NODES:  # before anything moves
+        raise ValueError("too many pairs or nodes for one training task")
     rows = pairs.select(F.col("target").alias("a"), F.col("context").alias("b")).union(nodes.select("id", F.lit(None).cast("string")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(pdf[pdf["b"].isna()]["a"])
         real = pdf[pdf["b"].notna()]
-        if len(real) > MAX_PAIRS or len(ids) > MAX_NODES:
-            raise ValueError("too many pairs or nodes for one training task")
         at = {x: i for i, x in enumerate(ids)}
         places = np.array([[at[a], at[b]] for a, b in zip(real["a"], real["b"], strict=True)], np.int64).reshape(-1, 2)
         emb = _sgd(places, len(ids), dim, epochs, lr, 5, batch, seed, shared)[0] if len(places) else np.zeros((len(ids), dim))
@@ -108,7 +109,7 @@ def _train(pairs: DataFrame, nodes: DataFrame, dim: int, epochs: int, lr: float,
     return rows.groupBy(F.lit(0).alias("_g")).applyInPandas(run, "id string, x array<double>")
 
 
-def node2vec(g: PropertyGraph, dim: int = 16, num_walks: int = 10, length: int = 5, p: float = 1.0, q: float = 1.0, epochs: int = 5, lr: float = 0.01, seed: int = 7) -> DataFrame:
+def node2vec(g: PropertyGraph, dim: int = 16, num_walks: int = 5, length: int = 10, p: float = 1.0, q: float = 1.0, epochs: int = 5, lr: float = 0.01, seed: int = 7) -> DataFrame:
     """(id, x): skip-gram over biased walks, windows of 2, 5 negatives, batches of 64; zeros if there are no pairs."""
     seqs = walks(g, num_walks, length, p, q, seed).select(F.concat_ws("#", "start", "walk").alias("seq"), "pos", "id")
     return _train(skipgram_pairs(seqs), g.nodes.select("id"), dim, epochs, lr, 64, seed, False)

@@ -41,10 +41,10 @@ def bgp(triples: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """A row for each solution of the patterns, a column for each ?variable: natural joins on what they share.
 
     Patterns that share a variable with those before are joined first; where none does, the product is the answer. A
-    pattern without variables only has to match. No patterns have no solutions.
+    pattern without variables only has to match. No patterns have no solutions: a table without rows and columns.
     """
     if not patterns:
-        raise ValueError("no patterns have no solutions and no columns")
+        return triples.limit(0).select()
     left, out = list(patterns), None
     # All-constant patterns are existence tests.
     for fixed in [x for x in left if not any(t.startswith("?") for t in x)]:
@@ -71,7 +71,8 @@ def link_entities(mentions: DataFrame, entities: DataFrame, threshold: float = 0
     reach = F.explode(F.sequence(F.greatest(F.ceil(F.col("l") * threshold - 1e-9).cast("int"), F.lit(0)), F.floor(F.col("l") / threshold + 1e-9).cast("int"))).alias("n")
     pairs = m.select("mention", "l", reach).join(entities.select("id", "name", "ord", F.length("name").alias("n")), "n")
     d = F.levenshtein(F.lower("mention"), F.lower("name"))
-    near = pairs.withColumn("d", d).where((F.greatest("l", "n") == 0) | (1 - F.col("d") / F.greatest("l", "n") >= threshold))
+    alike = F.when(F.greatest("l", "n") > 0, 1 - F.col("d") / F.greatest("l", "n")).otherwise(0.0)  # two empty names aren't alike
+    near = pairs.withColumn("d", d).where(alike >= threshold)
     best = near.groupBy("mention").agg(F.min_by("id", F.struct("d", "ord")).alias("id"))
     return mentions.select("mention").distinct().join(best, "mention", "left")
 

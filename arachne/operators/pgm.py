@@ -87,27 +87,33 @@ def belief_propagation(variables: DataFrame, factors: DataFrame, rounds: int = 1
     links = f.select("factor", F.explode(F.array("var1", "var2")).alias("var")).where("var is not null").distinct()
     binary = F.explode(F.array(F.lit(0), F.lit(1))).alias("val")
     to_factor = checkpoint(links.select("factor", "var", binary).withColumn("m", F.lit(1.0)))
-    product = "aggregate(collect_list(m), 1D, (a, b) -> a * b)"
-
     def normal(df: DataFrame, keys: list[str]) -> DataFrame:
         z = df.groupBy(*keys).agg(F.sum("m").alias("z"))
         return df.join(z, keys).select(*keys, "val", F.expr("if(z > 0, m / z, 0.5D)").alias("m"))
 
+    def multiplied(messages: DataFrame) -> DataFrame:
+        return messages.groupBy("var", "val").agg(F.sum(F.expr("if(m = 0, 1, 0)")).alias("zeros"), F.sum(F.expr("if(m > 0, ln(m), 0D)")).alias("logs"))
+
+    def shifted(df: DataFrame, keys: list[str]) -> DataFrame:
+        """m from zeros and logs, up to a factor common to the values, so that many messages don't underflow."""
+        top = df.groupBy(*keys).agg(F.max(F.expr("if(zeros = 0, logs, null)")).alias("top"))
+        return df.join(top, keys).select(*keys, "val", F.expr("if(zeros = 0, exp(logs - top), 0D)").alias("m"))
+
     one = f.where("var2 is null").select("factor", F.col("var1").alias("var"), F.col("val1").alias("val"), F.col("phi").alias("m"))
     two = f.where("var2 is not null")
     to_var = None
     for _ in range(rounds):
         other = lambda a, b: two.join(to_factor.select("factor", F.col("var").alias(f"var{b}"), F.col("val").alias(f"val{b}"), "m"), ["factor", f"var{b}", f"val{b}"]).groupBy("factor", F.col(f"var{a}").alias("var"), F.col(f"val{a}").alias("val")).agg(F.sum(F.col("phi") * F.col("m")).alias("m"))
         to_var = checkpoint(normal(other(1, 2).unionByName(other(2, 1)).unionByName(one), ["factor", "var"]))
-        rest = to_factor.select("factor", "var", "val").join(to_var.select(F.col("factor").alias("g"), "var", "val", "m"), ["var", "val"], "left").where("g is null or g <> factor")
-        new = rest.groupBy("factor", "var", "val").agg(F.expr(product).alias("m"))
-        new = to_factor.select("factor", "var", "val").join(new, ["factor", "var", "val"], "left").na.fill(1.0, ["m"])
-        to_factor = checkpoint(normal(new, ["factor", "var"]))
+        # All of a variable's messages multiplied, as logs and a count of zeros, without the factor's own: a hub costs its edges.
+        own = to_factor.select("factor", "var", "val").join(to_var, ["factor", "var", "val"], "left")
+        rest = own.join(multiplied(to_var), ["var", "val"]).select("factor", "var", "val", F.expr("zeros - if(m = 0, 1, 0)").alias("zeros"), F.expr("logs - if(m > 0, ln(m), 0D)").alias("logs"))
+        to_factor = checkpoint(normal(shifted(rest, ["factor", "var"]), ["factor", "var"]), to_factor)
     every = variables.select("var", binary)
     if to_var is None:
         return every.select("var", F.col("val").alias("value"), F.lit(0.5).alias("belief"))
-    beliefs = every.join(to_var.select("var", "val", "m"), ["var", "val"], "left").na.fill(1.0, ["m"]).groupBy("var", "val").agg(F.expr(product).alias("m"))
-    return normal(beliefs, ["var"]).select("var", F.col("val").alias("value"), F.col("m").alias("belief"))
+    beliefs = every.join(multiplied(to_var), ["var", "val"], "left").na.fill(0, ["zeros"]).na.fill(0.0, ["logs"])
+    return normal(shifted(beliefs, ["var"]), ["var"]).select("var", F.col("val").alias("value"), F.col("m").alias("belief"))
 
 
 def viterbi(sequences: DataFrame, states: list[str], start: list[float], transition: list[list[float]], emission: list[dict[str, float]], log: bool = False) -> DataFrame:
