@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from arachne.operators.retrieval import decay, remember
-from arachne.plans.iterate import checkpoint
+from arachne.operators.retrieval import decay, remember, tokens
 
 
 def gru_cell(hidden: np.ndarray, inputs: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
@@ -53,49 +50,70 @@ def temporal_memory(events: DataFrame, node: int, edge: int, weights: dict[str,
     return rows.groupBy("component").applyInPandas(run, "id string, memory array<double>")
 
 
-def stream_strengths(episodes: DataFrame, name: str, factor: float = 0.9) -> StreamingQuery:
-    """A stateful count per (event, concept) of a stream (event, concept): strengths decay once a batch, into a memory table.
+class BatchStore:
+    """Tables of micro-batches in a shared folder, one for each batch id. A batch that is delivered again, also after a
+    restart, writes its own table again; a table without its end mark was cut off and doesn't count."""
 
-    Late events count in the batch that brings them. A link that falls below 0.1 is dropped from the state.
-    """
-    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        strength = state.get[0] * factor if state.exists else 0.0
-        if strength < 0.1:
-            strength = 0.0
-        n = sum(len(f) for f in frames)
-        for _ in range(n):
-            strength = min(1.0, strength + 0.2) if strength else 0.5
-        state.update((strength,))
-        yield pd.DataFrame({"event": [key[0]], "concept": [key[1]], "strength": [strength]})
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    out = episodes.groupBy("event", "concept").applyInPandasWithState(update, "event string, concept string, strength double", "strength double", "update", "NoTimeout")
-    return out.writeStream.outputMode("update").format("memory").queryName(name).start()
+    def batches(self) -> list[int]:
+        """Ids of the complete batches, in order."""
+        root = self._path("")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n[6:]) for n in names if n.startswith("batch=") and fs.exists(self._path(f"{n}/_SUCCESS")))
 
+    def write(self, table: DataFrame, batch_id: int) -> None:
+        table.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
 
-class MemoryStore:
-    """Association strengths kept in a table across micro-batches: pass fold to foreachBatch."""
+    def read(self, ids: list[int]) -> DataFrame:
+        paths = [f"{self.folder}/batch={i}" for i in ids]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def __init__(self, memory: DataFrame, factor: float = 0.9):
-        self.memory, self.factor, self.batches = memory, factor, set()
+    def drop(self, ids: list[int]) -> None:
+        for i in ids:
+            path = self._path(f"batch={i}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class MemoryStore(BatchStore):
+    """Association strengths (event, concept, strength) across micro-batches: pass fold to foreachBatch.
+
+    Every batch decays all links once, drops the weak ones, and then counts its episodes (event, concept); late ones
+    count in the batch that brings them. The table of the batch before stays until the next one is complete.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, factor: float = 0.9):
+        super().__init__(spark, folder, "event string, concept string, strength double")
+        self.factor = factor
+
+    def memory(self) -> DataFrame:
+        return self.read(self.batches()[-1:])
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
-        """Decay once, then the batch's episodes; a batch that is delivered again is ignored."""
-        if batch_id not in self.batches:
-            self.memory = checkpoint(remember(decay(self.memory, self.factor), batch))
-            self.batches.add(batch_id)
+        before = [i for i in self.batches() if i < batch_id]
+        self.write(remember(decay(self.read(before[-1:]), self.factor), batch.select("event", "concept")), batch_id)
+        self.drop(before[:-1])
 
 
-class TermStore:
-    """Document frequencies and counts kept across micro-batches, so that ingestion never refits what came before."""
+class TermStore(BatchStore):
+    """Term counts (doc_id, term, c) across micro-batches: each batch adds a table of its own, and what came before isn't touched."""
 
-    def __init__(self, empty: DataFrame):
-        self.counts, self.batches = empty, set()
+    def __init__(self, spark: SparkSession, folder: str, id_type: str = "long"):
+        super().__init__(spark, folder, f"doc_id {id_type}, term string, c long")
+
+    def counts(self) -> DataFrame:
+        return self.read(self.batches())
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
         """batch: (doc_id, text)."""
-        from arachne.operators.retrieval import tokens
+        self.write(batch.select("doc_id", F.explode(tokens("text")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("c")), batch_id)
+
 
-        if batch_id not in self.batches:
-            new = batch.select("doc_id", F.explode(tokens("text")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("c"))
-            self.counts = checkpoint(self.counts.unionByName(new))
-            self.batches.add(batch_id)
+def stream_strengths(episodes: DataFrame, store: MemoryStore, checkpoint_dir: str) -> StreamingQuery:
+    """Folds a stream (event, concept) into the store, until what is there now is read."""
+    return episodes.writeStream.foreachBatch(store.fold).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
