@@ -225,9 +225,20 @@ def gft_roundtrip(spark, sf):
     return spectral.inverse_fourier(g, spectral.fourier(g, signal)).select("id", r6(F.col("value"), "value"))
 
 
-@query()
+_PAIRS = "un AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM t5), ua AS (SELECT src, dst FROM un UNION ALL SELECT dst, src FROM un), ud AS (SELECT src AS id, count(*)::DOUBLE AS d FROM ua GROUP BY 1)"
+
+
+@query(
+    "SELECT id, CASE WHEN v >= -1e-9 * (SELECT stddev_pop(v) FROM p WHERE k = 60) THEN 'A' ELSE 'B' END AS side FROM p WHERE k = 60",
+    using=(
+        _TRADE, _PAIRS, "st AS (SELECT src, dst, 0.5::DOUBLE / (SELECT max(d) FROM ud) AS w FROM ua UNION ALL SELECT id, id, 1 - 0.5::DOUBLE * d / (SELECT max(d) FROM ud) FROM ud)",
+        "s0 AS (SELECT n_name AS id, (n_nationkey * 7919) % 101 / 101::DOUBLE AS v FROM nation), p AS (SELECT id, v - (SELECT avg(v) FROM s0) AS v, 0 AS k FROM s0 UNION ALL SELECT st.src, sum(st.w * p.v), p.k + 1 FROM p JOIN st ON st.dst = p.id WHERE p.k < 60 GROUP BY st.src, p.k)",
+    ),
+)
 def fiedler_cut(spark, sf):
-    return spectral.fiedler_cut(G.trade5(spark, sf, directed=False), rounds=60).select("id", "side")
+    g = G.trade5(spark, sf, directed=False)
+    start = g.nodes.select("id", (F.col("ord") * 7919 % 101 / 101.0).alias("v"))
+    return spectral.fiedler_cut(g, rounds=60, start=start).select("id", "side")
 
 
 # Paths
@@ -261,9 +272,13 @@ def astar_cost(spark, sf):
     return spark.createDataFrame([(paths.a_star(g, START, goal, F.lit(0.0))[1],)], "cost double")
 
 
-@query()
+# The first path, by the order of edges, among a node's shortest ones gives its place.
+@query(
+    "SELECT id, level, row_number() OVER (ORDER BY level, way) - 1 AS rank FROM (SELECT id, k::BIGINT AS level, min(way) AS way FROM w GROUP BY ALL)",
+    using=(_TRADE, _HOPS, f"w AS (SELECT '{START}' AS id, 0 AS k, CAST([] AS INTEGER[]) AS way UNION ALL SELECT t5.dst, w.k + 1, list_append(way, t5.dk::INTEGER) FROM w JOIN t5 ON t5.src = w.id JOIN d ON d.source = '{START}' AND d.id = t5.dst AND d.hops = w.k + 1)"),
+)
 def bfs_order(spark, sf):
-    return paths.bfs_order(G.trade5(spark, sf), START)
+    return paths.bfs_order(G.trade5(spark, sf), START).select("id", F.col("level").cast("long").alias("level"), "rank")
 
 
 @query()
@@ -306,14 +321,20 @@ def has_cycle(spark, sf):
     return spark.createDataFrame([("hierarchy", components.has_cycle(G.hierarchy(spark, sf))), ("trade", components.has_cycle(G.trade(spark, sf)))], "graph string, cyclic boolean")
 
 
-@query()
+_IN_TURN = """r AS (SELECT id, row_number() OVER (ORDER BY {order}) AS k FROM (SELECT n_name AS id, n_nationkey AS ord, d FROM nation LEFT JOIN ud ON ud.id = n_name)),
+    nb AS (SELECT a.k, a.id, list(b.k) FILTER (b.k < a.k) AS before FROM r a LEFT JOIN ua ON ua.src = a.id LEFT JOIN r b ON b.id = ua.dst GROUP BY ALL),
+    col AS (SELECT 0::BIGINT AS k, CAST([] AS BIGINT[]) AS c UNION ALL SELECT nb.k, list_append(c, list_filter(range(0, 26), lambda x: NOT list_contains(list_transform(coalesce(before, []), lambda j: c[j]), x))[1]) FROM col JOIN nb ON nb.k = col.k + 1)"""
+_COLOURS = "SELECT nb.id, (SELECT c FROM col ORDER BY k DESC LIMIT 1)[nb.k] AS colour FROM nb"
+
+
+@query(_COLOURS, using=(_TRADE, _PAIRS, _IN_TURN.format(order="ord")))
 def greedy_colouring(spark, sf):
-    return components.colouring(G.trade5(spark, sf, directed=False))
+    return components.colouring(G.trade5(spark, sf, directed=False)).select("id", F.col("colour").cast("long").alias("colour"))
 
 
-@query()
+@query(_COLOURS, using=(_TRADE, _PAIRS, _IN_TURN.format(order="coalesce(d, 0) DESC, ord")))
 def welsh_powell(spark, sf):
-    return components.colouring(G.trade5(spark, sf, directed=False), by_degree=True)
+    return components.colouring(G.trade5(spark, sf, directed=False), by_degree=True).select("id", F.col("colour").cast("long").alias("colour"))
 
 
 @query("SELECT count(DISTINCT l_suppkey) AS pairs FROM lineitem")
@@ -392,17 +413,32 @@ def bayes_rejection(spark, sf):
     return _event_net(spark, sf).rejection(spark, "before", {"after": "purchase"}, 5000)
 
 
-@query()
+# The chains are a tree, so that the beliefs are the marginals: every assignment of the four linked variables is weighed.
+@query(
+    """SELECT 'error' AS var, v::BIGINT AS value, round(CASE v WHEN 1 THEN p ELSE 1 - p END, 6) AS belief FROM pr, (SELECT unnest([0, 1]) AS v) WHERE event_type = 'error'
+    UNION ALL SELECT var, value, round(sum(w) / sum(sum(w)) OVER (PARTITION BY var), 6) FROM (SELECT w, unnest(['click', 'view', 'purchase', 'signup']) AS var, unnest([cv, bv, pv, sv])::BIGINT AS value
+      FROM (SELECT c.v AS cv, b.v AS bv, u.v AS pv, s.v AS sv, c.p * b.p * u.p * s.p * CASE WHEN c.v = b.v THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END * CASE WHEN u.v = b.v THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END * CASE WHEN s.v = b.v THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END AS w
+        FROM bt c, bt b, bt u, bt s WHERE c.event_type = 'click' AND b.event_type = 'view' AND u.event_type = 'purchase' AND s.event_type = 'signup')) GROUP BY var, value""",
+    using=("pr AS (SELECT event_type, count(*) / (SELECT count(*) FROM events)::DOUBLE AS p FROM events GROUP BY 1), bt AS (SELECT event_type, v, CASE v WHEN 1 THEN p ELSE 1 - p END AS p FROM pr, (SELECT unnest([0, 1]) AS v))",),
+)
 def belief_propagation(spark, sf):
     kinds = G.event_steps(spark, sf).groupBy("event_type").agg(F.count("*").cast("double").alias("n"))
     z = kinds.agg(F.sum("n").alias("z"))
     one = kinds.join(F.broadcast(z)).select(F.concat(F.lit("prior-"), "event_type").alias("factor"), F.col("event_type").alias("var1"), F.explode(F.array(F.struct(F.lit(0).alias("v"), (1 - F.col("n") / F.col("z")).alias("p")), F.struct(F.lit(1).alias("v"), (F.col("n") / F.col("z")).alias("p")))).alias("e"))
     one = one.select("factor", "var1", F.col("e.v").alias("val1"), F.lit(None).cast("string").alias("var2"), F.lit(None).cast("int").alias("val2"), F.col("e.p").alias("phi"))
     chain = spark.createDataFrame([(f"{a}-{b}", a, i, b, j, 0.8 if i == j else 0.2) for a, b in (("click", "view"), ("view", "purchase"), ("view", "signup")) for i in (0, 1) for j in (0, 1)], one.schema)
-    return pgm.belief_propagation(kinds.select(F.col("event_type").alias("var")), one.union(chain), 5).select("var", "value", r6(F.col("belief"), "belief"))
+    return pgm.belief_propagation(kinds.select(F.col("event_type").alias("var")), one.union(chain), 5).select("var", F.col("value").cast("long").alias("value"), r6(F.col("belief"), "belief"))
 
 
-@query()
+@query(
+    "SELECT seq, arg_min(path, {'p': -p, 's': s}) AS path, round(max(p), 6) AS score FROM (SELECT *, max(step) OVER (PARTITION BY seq) AS l FROM vt) WHERE step = l GROUP BY seq",
+    using=(
+        _STEPS, "em AS (SELECT * FROM (VALUES ('browse', 'click', 0.3), ('browse', 'view', 0.4), ('browse', 'error', 0.1), ('browse', 'signup', 0.1), ('browse', 'purchase', 0.1), ('buy', 'click', 0.2), ('buy', 'view', 0.1), ('buy', 'error', 0.1), ('buy', 'signup', 0.2), ('buy', 'purchase', 0.4)) t(s, o, p))",
+        "tr AS (SELECT * FROM (VALUES ('browse', 'browse', 0.8), ('browse', 'buy', 0.2), ('buy', 'browse', 0.4), ('buy', 'buy', 0.6)) t(a, b, p))",
+        "vt AS (SELECT user_id AS seq, step, s, ln(CASE s WHEN 'browse' THEN 0.7 ELSE 0.3 END::DOUBLE) + ln(em.p::DOUBLE) AS p, s AS path FROM steps JOIN em ON em.o = event_type WHERE step = 0 "
+        "UNION ALL SELECT vt.seq, steps.step, em.s, max(vt.p + ln(tr.p::DOUBLE)) + max(ln(em.p::DOUBLE)), arg_min(vt.path, {'p': -(vt.p + ln(tr.p::DOUBLE)), 's': vt.s}) || ',' || em.s FROM vt JOIN steps ON steps.user_id = vt.seq AND steps.step = vt.step + 1 JOIN em ON em.o = event_type JOIN tr ON tr.a = vt.s AND tr.b = em.s GROUP BY vt.seq, steps.step, em.s)",
+    ),
+)
 def hmm_viterbi(spark, sf):
     seq = G.event_steps(spark, sf).groupBy(F.col("user_id").alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "event_type"))), lambda x: x["event_type"]).alias("observations"))
     emission = [{"click": 0.3, "view": 0.4, "error": 0.1, "signup": 0.1, "purchase": 0.1}, {"click": 0.2, "view": 0.1, "error": 0.1, "signup": 0.2, "purchase": 0.4}]
@@ -410,7 +446,15 @@ def hmm_viterbi(spark, sf):
     return out.select("seq", F.array_join("path", ",").alias("path"), r6(F.col("score"), "score"))
 
 
-@query()
+@query(
+    "SELECT seq::VARCHAR AS seq, arg_min(path, {'p': -p, 's': s}) AS path FROM (SELECT *, max(step) OVER (PARTITION BY seq) AS l FROM cf) WHERE step = l GROUP BY seq",
+    using=(
+        _STEPS, "lb AS (SELECT * FROM (VALUES (0, 'click'), (1, 'view'), (2, 'purchase')) t(s, o))",
+        "tr AS (SELECT * FROM (VALUES (0, 0, 0.2), (0, 1, 0.1), (0, 2, 0.0), (1, 0, 0.0), (1, 1, 0.3), (1, 2, 0.1), (2, 0, 0.1), (2, 1, 0.0), (2, 2, 0.2)) t(a, b, w))",
+        "cf AS (SELECT user_id AS seq, step, s, (event_type = o)::INTEGER::DOUBLE AS p, s::VARCHAR AS path FROM steps, lb WHERE step = 0 "
+        "UNION ALL SELECT cf.seq, steps.step, lb.s, max(cf.p + tr.w::DOUBLE) + max((event_type = lb.o)::INTEGER::DOUBLE), arg_min(cf.path, {'p': -(cf.p + tr.w::DOUBLE), 's': cf.s}) || ',' || lb.s FROM cf JOIN steps ON steps.user_id = cf.seq AND steps.step = cf.step + 1 JOIN tr ON tr.a = cf.s JOIN lb ON lb.s = tr.b GROUP BY cf.seq, steps.step, lb.s)",
+    ),
+)
 def crf_decode(spark, sf):
     s = G.event_steps(spark, sf).select(F.col("user_id").alias("seq"), "step", F.array(*[F.when(F.col("event_type") == t, 1.0).otherwise(0.0) for t in ("click", "view", "purchase")]).alias("e"))
     seq = s.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "e"))), lambda x: x["e"]).alias("emissions")).withColumn("transitions", F.array(V.vec([0.2, 0.1, 0.0]), V.vec([0.0, 0.3, 0.1]), V.vec([0.1, 0.0, 0.2])))
@@ -595,38 +639,102 @@ def sage(spark, sf):
     return _flat(gnn.sage(*_ring(spark, sf), W3, [w[::-1] for w in W3]), 3)
 
 
-@query()
+_R3 = [w[::-1] for w in W3]
+
+
+def _dot(row: list[float], columns: list[str]) -> str:
+    return " + ".join(f"{w}::DOUBLE * {c}" for w, c in zip(row, columns, strict=True))
+
+
+def _columns(rows: list[list[float]], columns: list[str], name: str, wrap: str = "{}") -> str:
+    """SELECT items: the matrix times the columns, each wrapped, as name0, name1 and so on."""
+    return ", ".join(f"{wrap.format(_dot(w, columns))} AS {name}{k}" for k, w in enumerate(rows))
+
+
+_F = ["f.a", "f.b", "f.c", "f.e"]
+_LOOPED = _RING + ", el AS (SELECT src, dst FROM ring UNION ALL SELECT id, id FROM f), dg AS (SELECT dst AS id, count(*)::DOUBLE AS d FROM el GROUP BY 1)"
+
+
+def _gcn(table: str, columns: list[str], rows: list[list[float]], name: str = "x", wrap: str = "{}") -> str:
+    """A GCN layer over the table (id, columns)."""
+    return f"SELECT el.dst AS id, {_columns(rows, columns, name, wrap.format('sum(({}) / sqrt(di.d * dj.d))'))} FROM el JOIN {table} ON {table}.id = el.src JOIN dg di ON di.id = el.dst JOIN dg dj ON dj.id = el.src GROUP BY 1"
+
+
+@query(
+    "SELECT f.id, " + ", ".join(f"round(coalesce(h{k}.v{j}, 0), 5) AS x{3 * k + j}" for k in range(2) for j in range(3)) + " FROM f LEFT JOIN att h0 ON h0.id = f.id AND h0.head = 0 LEFT JOIN att h1 ON h1.id = f.id AND h1.head = 1",
+    using=(
+        _RING, f"hd AS (SELECT id, 0 AS head, {_columns(W3, _F, 'h')} FROM f UNION ALL SELECT id, 1, {_columns(_R3, _F, 'h')} FROM f)",
+        f"sc AS (SELECT t.id, t.head, s.h0, s.h1, s.h2, {_dot([0.1, 0.2, 0.3], ['t.h0', 't.h1', 't.h2'])} + {_dot([0.3, 0.1, -0.2], ['s.h0', 's.h1', 's.h2'])} AS r FROM ring JOIN hd s ON s.id = ring.src JOIN hd t ON t.id = ring.dst AND t.head = s.head)",
+        "sw AS (SELECT *, exp(CASE WHEN r > 0 THEN r ELSE 0.2::DOUBLE * r END) AS w FROM sc), att AS (SELECT id, head, sum(w * h0) / sum(w) AS v0, sum(w * h1) / sum(w) AS v1, sum(w * h2) / sum(w) AS v2 FROM sw GROUP BY ALL)",
+    ),
+)
 def gat(spark, sf):
     return _flat(gnn.gat(*_ring(spark, sf), [W3, [w[::-1] for w in W3]], [[0.1, 0.2, 0.3]] * 2, [[0.3, 0.1, -0.2]] * 2), 6)
 
 
-@query()
+_W4 = W3 + W3[:1]
+_N4 = [f"n{k}" for k in range(4)]
+
+
+def _normed(table: str, columns: list[str], name: str) -> str:
+    mean = f"(({' + '.join(columns)}) / {len(columns)})"
+    var = f"(({' + '.join(f'power({c} - {mean}, 2)' for c in columns)}) / {len(columns)})"
+    return f"SELECT id, {', '.join(f'({c} - {mean}) / sqrt({var} + 1e-5::DOUBLE) AS {name}{k}' for k, c in enumerate(columns))} FROM {table}"
+
+
+@query(
+    "SELECT id, " + ", ".join(f"round(o{k}, 5) AS x{k}" for k in range(4)) + " FROM out4",
+    using=(
+        _RING, f"hd AS (SELECT id, 0 AS head, {_columns(W3[:2], _F, 'h')} FROM f UNION ALL SELECT id, 1, {_columns(W3[1:], _F, 'h')} FROM f)",
+        "sw AS (SELECT t.id, t.head, s.h0, s.h1, exp((t.h0 * s.h0 + t.h1 * s.h1) / sqrt(2::DOUBLE)) AS w FROM ring JOIN hd s ON s.id = ring.src JOIN hd t ON t.id = ring.dst AND t.head = s.head)",
+        "att AS (SELECT id, head, sum(w * h0) / sum(w) AS v0, sum(w * h1) / sum(w) AS v1 FROM sw GROUP BY ALL)",
+        "mx AS (SELECT f.id, " + ", ".join(f"{_dot(_W4[k], _F)} + coalesce(h{k // 2}.v{k % 2}, 0) AS m{k}" for k in range(4)) + " FROM f LEFT JOIN att h0 ON h0.id = f.id AND h0.head = 0 LEFT JOIN att h1 ON h1.id = f.id AND h1.head = 1)",
+        f"ln AS ({_normed('mx', ['m0', 'm1', 'm2', 'm3'], 'n')}), hid AS (SELECT *, {_columns(_W4, _N4, 'u', 'greatest({}, 0)')} FROM ln)",
+        "fed AS (SELECT id, " + ", ".join(f"n{k} + {_dot(w, ['u0', 'u1', 'u2', 'u3'])} AS g{k}" for k, w in enumerate(_W4)) + f" FROM hid), out4 AS ({_normed('fed', ['g0', 'g1', 'g2', 'g3'], 'o')})",
+    ),
+)
 def graph_transformer(spark, sf):
     two = [W3[:2], W3[1:]]
     return _flat(gnn.graph_transformer(*_ring(spark, sf), two, two, two, W3 + W3[:1], W3 + W3[:1], W3 + W3[:1]), 4)
 
 
-@query()
+@query(
+    "SELECT f.id, " + ", ".join(f"round({_dot(W3[k], _F)} + coalesce(n.x{k}, 0) + coalesce(s.x{k}, 0), 5) AS x{k}" for k in range(3)) + " FROM f LEFT JOIN rm n ON n.id = f.id AND n.type = 'next' LEFT JOIN rm s ON s.id = f.id AND s.type = 'skip'",
+    using=(_RING, "rm AS (SELECT ring.dst AS id, type, " + ", ".join(f"avg(CASE type WHEN 'next' THEN {_dot(W3[k], _F)} ELSE {_dot(_R3[k], _F)} END) AS x{k}" for k in range(3)) + " FROM ring JOIN f ON f.id = ring.src GROUP BY ALL)"),
+)
 def rgcn(spark, sf):
     return _flat(gnn.rgcn(*_ring(spark, sf), {"next": W3, "skip": [w[::-1] for w in W3]}, W3), 3)
 
 
-@query()
+_X3 = ["x0", "x1", "x2"]
+
+
+@query(
+    "SELECT t.id, round(t.x0 * s0 + t.x1 * s1 + t.x2 * s2, 6) AS positive, round(n.x0 * s0 + n.x1 * s1 + n.x2 * s2, 6) AS negative FROM tr t JOIN fa n ON n.id = t.id CROSS JOIN ws",
+    using=(
+        _LOOPED, f"tr AS ({_gcn('f', _F, W3)}), fa AS ({_gcn('f', _F[::-1], W3)})",
+        "sm AS (SELECT " + ", ".join(f"1 / (1 + exp(-avg(x{k}))) AS m{k}" for k in range(3)) + f" FROM tr), ws AS (SELECT {_columns([r[:3] for r in W3], ['m0', 'm1', 'm2'], 's')} FROM sm)",
+    ),
+)
 def infomax_scores(spark, sf):
     x, e = _ring(spark, sf)
-    return gnn.infomax_scores(x, x.select("id", F.reverse("x").alias("x")), e, W3, [r[:3] for r in W3])
+    out = gnn.infomax_scores(x, x.select("id", F.reverse("x").alias("x")), e, W3, [r[:3] for r in W3])
+    return out.select("id", r6(F.col("positive"), "positive"), r6(F.col("negative"), "negative"))
 
 
-@query()
+_VGAE = (_LOOPED, f"h1 AS ({_gcn('f', _F, W3, wrap='greatest({}, 0)')}), mu AS ({_gcn('h1', _X3, [r[:3] for r in W3[:2]], 'm')}), lv AS ({_gcn('h1', _X3, [r[1:] for r in W3[:2]], 'l')})")
+
+
+@query("SELECT ring.src, ring.dst, round(1 / (1 + exp(-(a.m0 * b.m0 + a.m1 * b.m1))), 6) AS prob FROM ring JOIN mu a ON a.id = ring.src JOIN mu b ON b.id = ring.dst", using=_VGAE)
 def vgae_decode(spark, sf):
     x, e = _ring(spark, sf)
     z = gnn.vgae_encode(x, e, W3, [r[:3] for r in W3[:2]], [r[1:] for r in W3[:2]])
-    return gnn.vgae_decode(z.select("id", F.col("mu").alias("x")), e)
+    return gnn.vgae_decode(z.select("id", F.col("mu").alias("x")), e).select("src", "dst", r6(F.col("prob"), "prob"))
 
 
-@query()
+@query("SELECT round(-0.5::DOUBLE * avg(2 + l0 + l1 - m0 * m0 - m1 * m1 - exp(l0) - exp(l1)), 6) AS kl FROM mu JOIN lv USING (id)", using=_VGAE)
 def vgae_kl(spark, sf):
-    return gnn.vgae_kl(gnn.vgae_encode(*_ring(spark, sf), W3, [r[:3] for r in W3[:2]], [r[1:] for r in W3[:2]]))
+    return gnn.vgae_kl(gnn.vgae_encode(*_ring(spark, sf), W3, [r[:3] for r in W3[:2]], [r[1:] for r in W3[:2]])).select(r6(F.col("kl"), "kl"))
 
 
 @query(
@@ -676,12 +784,30 @@ def chunking(spark, sf):
     return retrieval.chunks(G.table(spark, sf, "documents")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
-@query()
+# The pattern's look-ahead holds no capital, so reading its end along doesn't move the next match.
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_STATED = r"\b([A-Z][a-zA-Z]+)\s+([a-z_]+)\s+([A-Z][a-zA-Z\s0-9]+?)(?:\.|,|and|\s+is\b|\s+was\b|$)"
+_COPULA = r"\b([A-Z][a-zA-Z]+)\s+is\s+(?:a|an)?\s*([a-zA-Z\s]+?)(?:\.|,|$)"
+
+
+@query(
+    f"SELECT doc_id, unnest(regexp_extract_all(text, '{_STATED}', 1)) AS s, unnest(regexp_extract_all(text, '{_STATED}', 2)) AS p, trim(unnest(regexp_extract_all(text, '{_STATED}', 3)), {_BLANKS}) AS o FROM documents "
+    f"UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '{_COPULA}', 1)), 'is_a', replace(trim(unnest(regexp_extract_all(text, '{_COPULA}', 2)), {_BLANKS}), ' ', '_') FROM documents"
+)
 def extract_triples(spark, sf):
     return retrieval.extract_triples(G.table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(
+    "SELECT s, p, o FROM loc WHERE s IN (SELECT id FROM seed) OR o IN (SELECT id FROM seed) OR s IN (SELECT id FROM one) OR o IN (SELECT id FROM one)",
+    using=(
+        _TFIDF, "q AS (SELECT unnest(['where', 'is', 'nation_3']) AS term, 1 / 3::DOUBLE AS qtf), dn AS (SELECT doc_id, sqrt(sum(power(tf * idf, 2))) AS dn FROM ix GROUP BY 1)",
+        "best AS (SELECT documents.doc_id, text FROM documents LEFT JOIN (SELECT doc_id, sum(tf * idf * qtf * idf) / max(dn) AS s FROM ix JOIN q USING (term) JOIN dn USING (doc_id) GROUP BY 1) x ON x.doc_id = documents.doc_id ORDER BY coalesce(s, 0) DESC, documents.doc_id LIMIT 2)",
+        "play AS (SELECT term AS w FROM q UNION SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) FROM best)",
+        "loc AS (SELECT n_name AS s, 'located_in' AS p, 'region' || n_regionkey AS o FROM nation), seed AS (SELECT id FROM (SELECT s AS id FROM loc UNION SELECT o FROM loc) JOIN play ON play.w = lower(id))",
+        "one AS (SELECT s AS id FROM loc WHERE o IN (SELECT id FROM seed) UNION SELECT o FROM loc WHERE s IN (SELECT id FROM seed))",
+    ),
+)
 def hybrid_retrieve(spark, sf):
     docs = G.table(spark, sf, "documents")
     names = G.table(spark, sf, "nation").select(F.col("n_name").alias("s"), F.lit("located_in").alias("p"), F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("o"))
@@ -712,7 +838,7 @@ def temporal_memory(spark, sf):
     return incremental.temporal_memory(e, 4, 1)
 
 
-@query()
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def task_plan(spark, sf):
     plan = retrieval.TaskPlan()
     plan.register("load", lambda _: G.table(spark, sf, "orders"))
@@ -721,8 +847,15 @@ def task_plan(spark, sf):
     return plan.execute()["count"]
 
 
-@query()
+@query(
+    """SELECT id, round(least(greatest(x + vx, 30), 770), 6) AS x, round(least(greatest(y + vy, 30), 570), 6) AS y, round(vx, 6) AS vx, round(vy, 6) AS vy FROM (
+      SELECT b.id, b.x, b.y, 0.85::DOUBLE * sum(fx) AS vx, 0.85::DOUBLE * sum(fy) AS vy FROM bd b JOIN (
+        SELECT id, 800 / power(d, 3) * dx AS fx, 800 / power(d, 3) * dy AS fy FROM (SELECT a.id, a.x - b.x AS dx, a.y - b.y AS dy, greatest(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 1) AS d FROM bd a JOIN bd b ON a.id <> b.id)
+        UNION ALL SELECT id, 0.04::DOUBLE * (d - 120) * dx / d, 0.04::DOUBLE * (d - 120) * dy / d FROM (SELECT a.id, b.x - a.x AS dx, b.y - a.y AS dy, greatest(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 1) AS d FROM lk JOIN bd a ON a.id = lk.src JOIN bd b ON b.id = lk.dst)
+        UNION ALL SELECT id, (400 - x) * 0.015::DOUBLE, (300 - y) * 0.015::DOUBLE FROM bd) f ON f.id = b.id GROUP BY b.id, b.x, b.y)""",
+    using=(_TRADE, "bd AS (SELECT n_name AS id, n_nationkey % 5 * 100 + 100::DOUBLE AS x, n_nationkey // 5 * 80 + 100::DOUBLE AS y FROM nation), lk AS (SELECT src, dst FROM t5 UNION SELECT dst, src FROM t5)"),
+)
 def layout_step(spark, sf):
     g = G.trade5(spark, sf)
     bodies = g.nodes.select("id", (F.pmod("ord", F.lit(5)) * 100 + 100.0).alias("x"), ((F.col("ord") / 5).cast("int") * 80 + 100.0).alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
-    return retrieval.layout_step(g, bodies)
+    return retrieval.layout_step(g, bodies).select("id", *[r6(F.col(c), c) for c in ("x", "y", "vx", "vy")])
