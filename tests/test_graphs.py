@@ -67,6 +67,7 @@ def test_components_and_orders(spark):
     g = graph(spark, "A-B B-C C-A C-D D-E E-F F-D G-F G-H H-G", True)
     assert values(components.strongly_connected(g)) == {x: (c,) for c in ("ABC", "DEF", "GH") for x in c for c in [c[0]]}
     assert {v[0] for v in values(components.connected(g)).values()} == {"A"}
+    assert values(components.condensation(g)) == {"A": ("A", 0), "B": ("A", 0), "C": ("A", 0), "G": ("G", 0), "H": ("G", 0), "D": ("D", 1), "E": ("D", 1), "F": ("D", 1)}
     assert components.has_cycle(g)
     with pytest.raises(ValueError):
         components.topological_levels(g)
@@ -134,3 +135,79 @@ def test_plan_and_memory(spark):
     assert plan.execute({"a": 1})["b"] == 4
     e = spark.createDataFrame([("E1", "x"), ("E1", "x"), ("E2", "x")], "event string, concept string")
     assert [(r.event, r.strength) for r in retrieval.recall(retrieval.memory_strengths(e), "x").collect()] == [("E1", pytest.approx(0.7)), ("E2", 0.5)]
+
+
+def test_fiedler_cut_of_a_bridge(spark):
+    g = graph(spark, "A-B-2 A-C-4 B-C-1.5 C-D-6 D-E-2.5 D-F-3 E-F-1")
+    side = {r.id: r.side for r in spectral.fiedler_cut(g).collect()}
+    assert len({side[x] for x in "ABC"}) == len({side[x] for x in "DEF"}) == 1 and side["A"] != side["D"]
+
+
+def test_pagerank_with_sinks_and_unreached_nodes(spark):
+    g = graph(spark, "a-b a-c b-c d-a", True)
+    near, rank = {"a": "bc", "b": "c", "c": "", "d": "a"}, dict.fromkeys("abcd", 0.25)
+    for _ in range(7):
+        lost = sum(rank[x] for x in near if not near[x])
+        rank = {x: 0.15 / 4 + 0.85 * (lost / 4 + sum(rank[y] / len(near[y]) for y in near if x in near[y])) for x in near}
+    assert {k: v[0] for k, v in values(centrality.pagerank(g, fixed_iters=7)).items()} == pytest.approx(rank)
+    assert sum(v[0] for v in values(centrality.pagerank(g)).values()) == pytest.approx(1)
+
+
+F17 = "Alice works_at Google. Google located_in USA. Bob likes Carol, who is gone.\nDan is an engineer of trade. Eve visits Thailand, alone. Rex is a good dog"
+
+
+def test_triples_are_extracted_as_stated(spark):
+    import re
+
+    text = [F17, None, "", "no names", "A b C. Al sees Bo and Bo sees Cy", "Al is\n a Big Cat.", "éAl sees Bo. Al_x sees Bo. Al  sees\tBo  Jo\n is here", "Xy sees Bo was Cy sees Do,"] + ["Al " * 3000 + "sees Bo."]
+    stated = r"\b([A-Z][a-zA-Z]+)\s+([a-z_]+)\s+([A-Z][a-zA-Z\s0-9]+?)(?=\.|\,|and|\s+is\b|\s+was\b|$)"
+    copula = r"\b([A-Z][a-zA-Z]+)\s+is\s+(?:a|an)?\s*([a-zA-Z\s]+?)(?=\.|\,|$)"
+    want = []
+    for i, t in enumerate(text):
+        want += [(i, s, p, o.strip()) for s, p, o in re.findall(stated, t or "")]
+        want += [(i, s, "is_a", o.strip().replace(" ", "_")) for s, o in re.findall(copula, t or "")]
+    df = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in retrieval.extract_triples(df).collect()) == sorted(want)
+    assert (0, "Alice", "works_at", "Google") in want and (0, "Eve", "visits", "Thail") in want and (0, "Dan", "is_a", "n_engineer_of_trade") in want
+
+
+def test_ingestion_and_answers(spark):
+    df = spark.createDataFrame([(1, "Alice works_at Google. Google located_in USA.\n\nBob likes Carol."), (2, "nothing here")], "doc_id long, text string")
+    parts, index, triples, sources = retrieval.ingest(df)
+    assert sorted((r.doc_id, r.chunk) for r in parts.collect()) == [(1, 0), (1, 1), (2, 0)]
+    assert {(r.entity, r.chunk) for r in sources.collect()} == {("Alice", 0), ("Google", 0), ("USA", 0), ("Bob", 1), ("Carol", 1)}
+    assert index.select("chunk_id").distinct().count() == 3
+    chunked = parts.select((F.col("doc_id") * 10 + F.col("chunk")).alias("doc_id"), "text")
+    answer = retrieval.grounded_answer(chunked, triples, "Where is alice?")
+    assert "we know that Alice is associated with Google via a 'works_at' relationship. According to" in answer and "- (Google) --[located_in]--> (USA)" in answer
+    assert retrieval.NO_PLACE in retrieval.grounded_answer(chunked, triples, "where is bob located")
+    assert retrieval.GENERAL in retrieval.grounded_answer(chunked, triples, "who is alice")
+
+
+def test_edges_and_trees(spark):
+    g = graph(spark, "a-b a-c b-c-3")
+    gone = spark.createDataFrame([("b", "a")], "src string, dst string")
+    assert {tuple(sorted((r.src, r.dst))) for r in g.remove_edges(gone).edge_list().collect()} == {("a", "c"), ("b", "c")}
+    more = g.add_nodes(spark.createDataFrame([("a", "city"), ("z", "town")], "id string, type string"))
+    assert {r.id: r.type for r in more.nodes.collect()}["z"] == "town" and more.num_nodes() == 4
+    two = graph(spark, "a-b-2 b-c-1 a-c-5 x-y-1")
+    assert components.spanning_forest(two, start="a").agg(F.sum("weight")).first()[0] == 3
+    assert kg.bgp(spark.createDataFrame([("a", "b", "c")], "s string, p string, o string"), []).count() == 0
+
+
+def test_skipgram_loss_and_line(spark, square):
+    import numpy as np
+
+    t, c = np.array([[1.0, 0.0], [0.0, 2.0]]), np.array([[0.5, 1.0], [1.0, -1.0]])
+    s = lambda v: np.log(1 / (1 + np.exp(-v)))
+    assert embed.skipgram_loss(t, c, np.array([[0, 1]]), np.array([[0, 1]])) == pytest.approx(-(s(1.0) + s(-0.5) + s(-1.0)))
+    pairs = np.array([[0, 1], [1, 0], [2, 3], [3, 2]] * 20)
+    losses = embed._sgd(pairs, 4, 4, 40, 0.05, 2, 16, 1, False)[1]
+    assert losses[-1] < losses[0]
+    assert {len(r.x) for r in embed.line(square, dim=4, proximity="second", epochs=2).collect()} == {4}
+
+
+def test_two_empty_names_are_not_alike(spark):
+    m = spark.createDataFrame([("",), ("Pariss",)], "mention string")
+    e = spark.createDataFrame([("1", "", 0), ("2", "paris", 1)], "id string, name string, ord int")
+    assert {r.mention: r.id for r in kg.link_entities(m, e).collect()} == {"": None, "Pariss": "2"}
