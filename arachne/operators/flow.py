@@ -1,4 +1,4 @@
-"""Maximum bipartite matching and maximum flow: augmenting searches, sequential by nature, in one task for each component."""
+"""Maximum bipartite matching and maximum flow. Matching begins with distributed greedy rounds; augmenting searches, sequential by nature, run in one task for each component that still needs them."""
 
 from __future__ import annotations
 
@@ -10,27 +10,57 @@ from pyspark.sql import functions as F
 
 from arachne.operators.components import connected
 from arachne.operators.graph import PropertyGraph
+from arachne.plans.iterate import checkpoint
 
 #: Edges up to which one component is solved in a task.
 MAX_EDGES = 2_000_000
 
 
-def _check(pdf: pd.DataFrame) -> None:
-    if len(pdf) > MAX_EDGES:
+def _checked(rows: DataFrame, *by: str) -> DataFrame:
+    """rows, if no group has more than MAX_EDGES: counted with partial aggregation, before any group moves to a task."""
+    most = rows.groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+    if most > MAX_EDGES:
         raise ValueError(f"a component has more than {MAX_EDGES} edges")
+    return rows
+
+
+def greedy_matching(edges: DataFrame) -> DataFrame:
+    """(left, right): a matching of the edges (src, dst) to which no edge can be added, in rounds: each free src asks one free dst, and each dst takes one that asks."""
+    left, found, k = checkpoint(edges.select("src", "dst").distinct()), None, 0
+    while not left.isEmpty():
+        # Another hash order each round, so that few ask the same one again.
+        asked = left.groupBy("src").agg(F.min_by("dst", F.xxhash64("src", "dst", F.lit(k))).alias("dst"))
+        new = checkpoint(asked.groupBy("dst").agg(F.min("src").alias("src")).select(F.col("src").alias("left"), F.col("dst").alias("right")))
+        found = new if found is None else found.union(new)
+        left = checkpoint(left.join(new.select(F.col("left").alias("src")), "src", "left_anti").join(new.select(F.col("right").alias("dst")), "dst", "left_anti"), left)
+        k += 1
+    return found if found is not None else edges.select(F.col("src").alias("left"), F.col("dst").alias("right")).limit(0)
 
 
 def bipartite_matching(g: PropertyGraph, left: DataFrame) -> DataFrame:
-    """(left, right): a maximum matching of the nodes in left (column id) with the others. Components are solved side by side."""
-    part = connected(g)
-    e = g.both_ways().join(left.select(F.col("id").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("id").alias("dst")).distinct(), "dst", "left_anti")
-    rows = e.join(part.withColumnRenamed("id", "src"), "src")
+    """(left, right): a maximum matching of the nodes in left (column id) with the others.
+
+    A greedy matching comes first. It is a maximum already if it uses up all linked nodes of one side. Else components
+    with free nodes on both sides are augmented, each in one task, side by side.
+    """
+    e = checkpoint(g.both_ways().join(left.select(F.col("id").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("id").alias("dst")).distinct(), "dst", "left_anti"))
+    greedy = checkpoint(greedy_matching(e))
+    pairs = greedy.count()
+    if pairs in (e.select("src").distinct().count(), e.select("dst").distinct().count()):
+        return greedy
+    part = checkpoint(connected(PropertyGraph.from_edges(e, False)))
+    held = checkpoint(greedy.join(part.withColumnRenamed("id", "left"), "left"))
+    sides = e.select(F.col("src").alias("id"), F.lit(1).alias("l"), F.lit(0).alias("r")).union(e.select("dst", F.lit(0), F.lit(1))).distinct()
+    counts = sides.join(part, "id").groupBy("component").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    open_ = checkpoint(counts.join(held.groupBy("component").agg(F.count("*").alias("k")), "component", "left").where("l > coalesce(k, 0) and r > coalesce(k, 0)").select("component"))
+    rows = _checked(e.join(part.withColumnRenamed("id", "src"), "src").join(open_, "component", "left_semi"), "component")
+    rows = rows.join(held.select(F.col("left").alias("src"), F.col("right").alias("dst"), F.lit(True).alias("held")), ["src", "dst"], "left")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        _check(pdf)
         near = {k: sorted(v) for k, v in pdf.groupby("src")["dst"]}
-        mine: dict[str, str] = {}
-        yours: dict[str, str] = {}
+        kept = pdf[pdf["held"].notna()]
+        mine: dict[str, str] = dict(zip(kept["src"], kept["dst"], strict=True))
+        yours: dict[str, str] = dict(zip(kept["dst"], kept["src"], strict=True))
         while True:
             level = {u: 0 for u in near if u not in mine}
             queue, free = deque(level), False
@@ -67,7 +97,8 @@ def bipartite_matching(g: PropertyGraph, left: DataFrame) -> DataFrame:
                         path.append(w)
         return pd.DataFrame({"left": list(mine), "right": list(mine.values())})
 
-    return rows.groupBy("component").applyInPandas(match, "left string, right string")
+    done = held.join(open_, "component", "left_anti").select("left", "right")
+    return done.union(rows.groupBy("component").applyInPandas(match, "left string, right string"))
 
 
 class _Residual:
@@ -150,7 +181,6 @@ def max_flow(g: PropertyGraph, source: str, sink: str, method: str = "dinic") ->
     solve = {"dinic": _blocking, "edmonds_karp": _shortest_first}[method]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _check(pdf)
         r = _Residual(pdf[["src", "dst", "weight"]].itertuples(index=False))
         cap = {u: dict(vs) for u, vs in r.near.items()}
         value = solve(r, source, sink) if source in cap and sink in cap else 0.0
@@ -158,4 +188,4 @@ def max_flow(g: PropertyGraph, source: str, sink: str, method: str = "dinic") ->
         rows = [(u, v, max(0.0, c - r.near[u][v]), u in side and v not in side, value) for u, vs in cap.items() for v, c in vs.items() if c > 0]
         return pd.DataFrame(rows, columns=["src", "dst", "flow", "in_cut", "value"])
 
-    return g.adjacency().where("src <> dst").groupBy(F.lit(0).alias("_g")).applyInPandas(run, "src string, dst string, flow double, in_cut boolean, value double")
+    return _checked(g.adjacency().where("src <> dst")).groupBy(F.lit(0).alias("_g")).applyInPandas(run, "src string, dst string, flow double, in_cut boolean, value double")

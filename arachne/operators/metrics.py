@@ -11,10 +11,12 @@ from arachne.plans.iterate import checkpoint
 
 def degree(g: PropertyGraph) -> DataFrame:
     """(id, in_degree, out_degree): neighbours, weights aside; equal for an undirected graph."""
-    a = g.adjacency()
-    out = a.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
-    into = a.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
-    return g.nodes.select("id").join(into, "id", "left").join(out, "id", "left").na.fill(0, ["in_degree", "out_degree"]).select("id", "in_degree", "out_degree")
+    end = lambda c, i, o: F.struct(F.col(c).alias("id"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    ends = F.array(end("src", 0, 1), end("dst", 1, 0))
+    if not g.directed:  # a loop counts once
+        ends = F.when(F.col("src") == F.col("dst"), F.array(end("src", 1, 1))).otherwise(F.array(end("src", 1, 1), end("dst", 1, 1)))
+    rows = g.edges.select(F.explode(ends).alias("e")).select("e.*").union(g.nodes.select("id", F.lit(0), F.lit(0)))
+    return rows.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
 def degree_of(g: PropertyGraph, node: str) -> tuple[int, int] | int:

@@ -211,3 +211,30 @@ def test_two_empty_names_are_not_alike(spark):
     m = spark.createDataFrame([("",), ("Pariss",)], "mention string")
     e = spark.createDataFrame([("1", "", 0), ("2", "paris", 1)], "id string, name string, ord int")
     assert {r.mention: r.id for r in kg.link_entities(m, e).collect()} == {"": None, "Pariss": "2"}
+
+
+def test_matching_is_a_maximum_on_random_graphs(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = [(f"{c}l{rng.randrange(7)}", f"{c}r{rng.randrange(7)}") for c in range(25) for _ in range(rng.randrange(1, 14))]
+    g = PropertyGraph.from_edges(spark.createDataFrame([(*e, i) for i, e in enumerate(edges)], "src string, dst string, ord long"), False)
+    near: dict[str, set] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+    held: dict[str, str] = {}
+
+    def place(u, seen):
+        for v in near[u]:
+            if v not in seen:
+                seen.add(v)
+                if v not in held or place(held[v], seen):
+                    held[v] = u
+                    return True
+        return False
+
+    for u in near:
+        place(u, set())
+    rows = flow.bipartite_matching(g, spark.createDataFrame([(u,) for u in near], "id string")).collect()
+    assert len(rows) == len(held) == len({r.left for r in rows}) == len({r.right for r in rows})
+    assert all(r.right in near[r.left] for r in rows)
