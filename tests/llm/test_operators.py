@@ -175,6 +175,43 @@ def test_token_counts(spark, block):
     assert got == dict(enumerate(encoder(vocabulary)(pa.array(texts))[1].tolist()))
 
 
+def test_edge_tables_of_packing_counts_rules_and_leaks(spark):
+    """Repeated rows, null ids and empty tables, by each operator that the others' tests leave out."""
+    rows = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (None, "one two three four five six"), (2, None), (None, "")], "doc_id long, text string")
+    packed = packing.pack_documents(rows, vocabulary).toPandas()
+    assert sorted(map(str, packed.doc_id.astype("Int64"))) == ["1", "1", "2", "<NA>", "<NA>"] and sorted(packed.length) == [1, 1, 7, 7, 7]
+    assert sorted((str(r.doc_id), r.n_tokens) for r in token_counts.document_token_counts(rows, vocabulary).collect()) == [("1", 6), ("1", 6), ("2", 0), ("None", 0), ("None", 6)]
+    assert token_counts.document_token_counts(rows.limit(0), vocabulary).count() == 0
+    assert sorted((str(r.doc_id), r.n_words) for r in quality.quality(rows).collect()) == [("1", 6), ("1", 6), ("2", 0), ("None", 0), ("None", 6)]
+    assert quality.quality(rows.limit(0)).count() == 0 and quality.keep_documents(rows).count() == 0
+    bench = spark.createDataFrame([(7, "one two three four five six"), (7, "one two three four five six"), (None, "x")], "item_id long, text string")
+    assert sorted(str(r.doc_id) for r in decontaminate.leaks(rows, bench).collect()) == ["1"] * 4 + ["None"] * 2
+    assert [(r.doc_id, r.text) for r in decontaminate.decontaminate(rows, bench).orderBy("doc_id").collect()] == [(None, ""), (2, None)]
+    assert decontaminate.leaks(rows.limit(0), bench).count() == decontaminate.decontaminate(rows.limit(0), bench).count() == 0
+    assert pii.find_pii(rows.limit(0)).count() == pii.redact_documents(rows.limit(0)).count() == 0 and pii.find_pii(rows).count() == 5
+    assert sorted(map(str, (r.text for r in pii.redact_documents(rows).collect()))) == ["", "None"] + ["one two three four five six"] * 3
+
+
+def test_leaks_of_many_indexes(spark, monkeypatch):
+    rng = random.Random(11)
+    items = [prose(rng, 25) for _ in range(30)]
+    texts = [prose(rng, 80) + " " + items[rng.randrange(30)] + " " + prose(rng, 50) for _ in range(20)] + [prose(rng, 120)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, texts), bench).collect())
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 4)
+    monkeypatch.setattr(decontaminate, "PASS_INDEXES", 3)
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, texts), bench).collect()) == want and len(want) >= 20
+    assert {r.doc_id for r in decontaminate.decontaminate(docs(spark, texts), bench).collect()} == set(range(21)) - {d for d, _ in want}
+
+
+def test_odd_token_files_and_large_ids_are_errors(spark, tmp_path):
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="odd length"):
+        token_counts.read_token_files(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="16-bit"):
+        token_counts.write_token_blocks(docs(spark, ["a"]), vocabulary, end_id=70_000)
+
+
 def test_token_files(spark, tmp_path):
     ids = np.array([1, 2, 9, 9, 3, 9, 4], "<u2")
     ids.tofile(tmp_path / "a.bin")
@@ -275,6 +312,9 @@ def test_bloom_filter_never_loses_a_key(spark):
     listed = keys.selectExpr("concat('h.org/', substring(canonical, 2)) as canonical")
     rows = urls.filter_urls(p, listed).collect()
     assert all((r.verdict == "block") == (r.page_id < 3000) for r in rows) and len(rows) == 3500
+    found = urls.filter_urls(p.union(p.limit(1)), listed.union(listed).unionByName(spark.createDataFrame([(None,)], "canonical string")))
+    assert found.where("verdict = 'block'").count() in (3000, 3001) and found.count() == 3501
+    assert urls.filter_urls(p, listed.limit(0)).where("verdict = 'block'").count() == 0 and urls.filter_urls(p.limit(0), listed).count() == 0
 
 
 def test_pii(spark):
