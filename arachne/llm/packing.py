@@ -24,10 +24,10 @@ from arachne.llm import tokenize
 
 #: Pieces of a shard: what one task holds at once.
 SHARD = 4096
-ISLANDS = 2
-EPOCHS = 2
-GENERATIONS = 3
-POPULATION = 4
+ISLANDS = 3
+EPOCHS = 3
+GENERATIONS = 12
+POPULATION = 6
 #: A bin that is filled to this share stays as it is; others are opened for the next round.
 TIGHT = 0.98
 ROUNDS = 3
@@ -138,7 +138,9 @@ def evolve(size: list[int], room: int, seed: int, elite: list[int] | None = None
         best_fit(bins, loads, [x for x in order if x not in placed], size, room)
         return bins, loads
 
-    people = [packed(every, 0.0)] + [packed(rng.permutation(every).tolist(), 0.1 * k) for k in range(1, population)]
+    people = [packed(every, 0.0)]
+    if len(people[0][0]) > least:  # a packing at the lower bound can't be bettered
+        people += [packed(rng.permutation(every).tolist(), 0.1 * k) for k in range(1, population)]
     if elite is not None:
         bins: list[list[int]] = [[] for _ in range(max(elite, default=-1) + 1)]
         for i, b in enumerate(elite):
@@ -216,8 +218,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     A document's ids are those of its text by the tokenizers library, which reads the string of a special token as that
     token, followed by end_id. Only documents longer than size are cut, from their end
     into pieces of size, so that the first may be shorter. Every sequence holds at most size ids, gapless from 0.
-    Cases: null or empty text is the single id end_id; rows that repeat an id are packed each; null ids stay null; an
-    empty table gives an empty result; other columns are ignored.
+    Cases: null or empty text is the single id end_id; very long texts are tokenised whole; rows that repeat an id are
+    packed each; null ids stay null; ties of lengths go by the pieces' order; an empty table gives an empty result;
+    other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = S.saved(texts.mapInArrow(_cut(vocabulary, size, end_id), PIECES), "pieces")
