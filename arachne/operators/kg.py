@@ -132,38 +132,120 @@ def margin_loss(positive: Column, negative: Column, model: str = "transe", margi
     return F.greatest(gap + margin, F.lit(0.0))
 
 
-class TransETrainer:
-    """Margin-ranking training of translation embeddings in numpy, with Adam; for stores that fit one process."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
-    def __init__(self, entities: int, relations: int, dim: int, margin: float = 1.0, lr: float = 0.01, seed: int = 7):
+
+def _through_unit(x: np.ndarray, grad: np.ndarray) -> np.ndarray:
+    """The gradient at x of what has grad at unit(x)."""
+    norm = np.linalg.norm(x, axis=-1, keepdims=True)
+    u = x / norm
+    return (grad - u * (grad * u).sum(-1, keepdims=True)) / norm
+
+
+def _score_transe(h, t, r):
+    d = _unit(h) + r - _unit(t)
+    g = np.sign(d)
+    return np.abs(d).sum(-1), (_through_unit(h, g), _through_unit(t, -g), g)
+
+
+def _score_transh(h, t, r, normal):
+    w = _unit(normal)
+    along = lambda x: (w * x).sum(-1, keepdims=True)
+    d = (h - w * along(h)) + r - (t - w * along(t))
+    g = np.sign(d)
+    gh = g - w * along(g)
+    return np.abs(d).sum(-1), (gh, -gh, g, _through_unit(normal, -along(h - t) * g - along(g) * (h - t)))
+
+
+def _score_transr(h, t, r, m):
+    d = np.einsum("nij,nj->ni", m, h - t) + r
+    g = np.sign(d)
+    gh = np.einsum("nij,ni->nj", m, g)
+    return np.abs(d).sum(-1), (gh, -gh, g, g[:, :, None] * (h - t)[:, None, :])
+
+
+def _halves(x):
+    k = x.shape[-1] // 2
+    return x[..., :k], x[..., k:]
+
+
+def _score_rotate(h, t, phase):
+    (a, b), (x, y), c, s = _halves(h), _halves(t), np.cos(phase), np.sin(phase)
+    re, im = a * c - b * s - x, a * s + b * c - y
+    m = np.sqrt(re * re + im * im + 1e-15)
+    re, im = re / m, im / m
+    return m.sum(-1), (np.concatenate([re * c + im * s, im * c - re * s], -1), np.concatenate([-re, -im], -1), re * (-a * s - b * c) + im * (a * c - b * s))
+
+
+def _score_distmult(h, t, r):
+    return (h * r * t).sum(-1), (r * t, h * r, h * t)
+
+
+def _score_complex(h, t, r):
+    (a, b), (x, y), (p, q) = _halves(h), _halves(t), _halves(r)
+    score = (a * p * x + b * p * y + a * q * y - b * q * x).sum(-1)
+    pair = lambda u, v: np.concatenate([u, v], -1)
+    return score, (pair(p * x + q * y, p * y - q * x), pair(a * p - b * q, b * p + a * q), pair(a * x + b * y, a * y - b * x))
+
+
+def _score_rescal(h, t, m):
+    mt = np.einsum("nij,nj->ni", m, t)
+    return (h * mt).sum(-1), (mt, np.einsum("nij,ni->nj", m, h), h[:, :, None] * t[:, None, :])
+
+
+#: Of each model its score with gradients, and the shapes of its tables of entities and relations by the dimension.
+MODELS = {
+    "transe": (_score_transe, lambda d: (d,), (lambda d: (d,),)),
+    "transh": (_score_transh, lambda d: (d,), (lambda d: (d,), lambda d: (d,))),
+    "transr": (_score_transr, lambda d: (d,), (lambda d: (d,), lambda d: (d, d))),
+    "rotate": (_score_rotate, lambda d: (2 * d,), (lambda d: (d,),)),
+    "distmult": (_score_distmult, lambda d: (d,), (lambda d: (d,),)),
+    "complex": (_score_complex, lambda d: (2 * d,), (lambda d: (2 * d,),)),
+    "rescal": (_score_rescal, lambda d: (d,), (lambda d: (d, d),)),
+}
+
+
+class KGETrainer:
+    """Margin-ranking training of the embeddings of any of MODELS in numpy, with Adam; for stores that fit one process.
+
+    tables: the entities' table, then those of the relations. Complex numbers are stored as real and imaginary halves.
+    """
+
+    def __init__(self, model: str, entities: int, relations: int, dim: int, margin: float = 1.0, lr: float = 0.01, seed: int = 7):
         rng = np.random.default_rng(seed)
+        self.score, entity, relation = MODELS[model]
         bound = 6 / dim**0.5
-        self.e, self.r = rng.uniform(-bound, bound, (entities, dim)), rng.uniform(-bound, bound, (relations, dim))
-        self.r /= np.linalg.norm(self.r, axis=1, keepdims=True)
+        self.tables = [rng.uniform(-bound, bound, (entities, *entity(dim)))] + [rng.uniform(-bound, bound, (relations, *shape(dim))) for shape in relation]
+        self.sign = 1.0 if model in DISTANCES else -1.0
         self.margin, self.lr, self.k = margin, lr, 0
-        self.m = [np.zeros_like(x) for x in (self.e, self.r, self.e, self.r)]
+        self.moments = [(np.zeros_like(x), np.zeros_like(x)) for x in self.tables]
+
+    def _graded(self, x: np.ndarray):
+        e, *r = self.tables
+        return self.score(e[x[:, 0]], e[x[:, 2]], *[table[x[:, 1]] for table in r])
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        unit = self.e / np.linalg.norm(self.e, axis=1, keepdims=True)
-        return np.abs(unit[x[:, 0]] + self.r[x[:, 1]] - unit[x[:, 2]]).sum(1)
+        """Of triples (rows h, r, t), in places of the tables."""
+        return self._graded(x)[0]
+
+    def gradients(self, pos: np.ndarray, neg: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The mean margin loss, and its gradient by each table."""
+        (sp, gp), (sn, gn) = self._graded(pos), self._graded(neg)
+        gap = self.margin + self.sign * (sp - sn)
+        out = [np.zeros_like(x) for x in self.tables]
+        for x, grads, sign in ((pos, gp, self.sign), (neg, gn, -self.sign)):
+            weight = sign * (gap > 0) / len(pos)
+            for table, at, g in zip([0, 0, *range(1, len(out))], [x[:, 0], x[:, 2], *[x[:, 1]] * (len(out) - 1)], grads, strict=True):
+                np.add.at(out[table], at, g * weight.reshape(-1, *[1] * (g.ndim - 1)))
+        return float(np.maximum(gap, 0).mean()), out
 
     def train_step(self, pos: np.ndarray, neg: np.ndarray) -> float:
         """One step on triples pos and neg (rows h, r, t); returns the loss before it."""
-        norm = np.linalg.norm(self.e, axis=1, keepdims=True)
-        unit = self.e / norm
-        gap = self.margin + self.scores(pos) - self.scores(neg)
-        live = gap > 0
-        gu, gr = np.zeros_like(self.e), np.zeros_like(self.r)
-        for x, sign in ((pos, 1.0), (neg, -1.0)):
-            s = sign * np.sign(unit[x[:, 0]] + self.r[x[:, 1]] - unit[x[:, 2]]) * live[:, None] / len(pos)
-            np.add.at(gu, x[:, 0], s)
-            np.add.at(gu, x[:, 2], -s)
-            np.add.at(gr, x[:, 1], s)
-        ge = (gu - unit * (gu * unit).sum(1, keepdims=True)) / norm
+        loss, grads = self.gradients(pos, neg)
         self.k += 1
-        for i, (w, grad) in enumerate(((self.e, ge), (self.r, gr))):
-            a, b = self.m[i], self.m[i + 2]
-            a += 0.1 * (grad - a)
-            b += 0.001 * (grad**2 - b)
+        for w, g, (a, b) in zip(self.tables, grads, self.moments, strict=True):
+            a += 0.1 * (g - a)
+            b += 0.001 * (g**2 - b)
             w -= self.lr * (a / (1 - 0.9**self.k)) / (np.sqrt(b / (1 - 0.999**self.k)) + 1e-8)
-        return float(np.maximum(gap, 0).mean())
+        return loss

@@ -238,3 +238,35 @@ def test_matching_is_a_maximum_on_random_graphs(spark):
     rows = flow.bipartite_matching(g, spark.createDataFrame([(u,) for u in near], "id string")).collect()
     assert len(rows) == len(held) == len({r.left for r in rows}) == len({r.right for r in rows})
     assert all(r.right in near[r.left] for r in rows)
+
+
+@pytest.mark.parametrize("model", list(kg.MODELS))
+def test_training_of_embeddings(model):
+    import numpy as np
+
+    trainer = kg.KGETrainer(model, 6, 2, 4, lr=0.05)
+    pos, neg = np.array([[0, 0, 2], [0, 1, 1], [3, 0, 4]]), np.array([[0, 0, 1], [0, 1, 2], [3, 0, 5]])
+    _, grads = trainer.gradients(pos, neg)
+    for table, grad in zip(trainer.tables, grads, strict=True):  # against finite differences
+        for at in [tuple(i) for i in np.argwhere(np.abs(grad) > 1e-9)[::5]]:
+            old = table[at]
+            table[at] = old + 1e-6
+            up = trainer.gradients(pos, neg)[0]
+            table[at] = old - 1e-6
+            down = trainer.gradients(pos, neg)[0]
+            table[at] = old
+            assert grad[at] == pytest.approx((up - down) / 2e-6, abs=1e-4)
+    losses = [trainer.train_step(pos, neg) for _ in range(80)]
+    assert losses[-1] < losses[0] or losses[0] == 0
+
+
+def test_scores_of_the_trainer_are_those_of_the_columns(spark):
+    import numpy as np
+
+    columns = {"transe": lambda h, t, r: kg.transe(h, r[0], t), "transh": lambda h, t, r: kg.transh(h, r[0], t, r[1]), "distmult": lambda h, t, r: kg.distmult(h, r[0], t)}
+    vec = lambda x: F.array(*[F.lit(float(v)) for v in x])
+    for model, column in columns.items():
+        trainer = kg.KGETrainer(model, 3, 2, 4)
+        e, *r = trainer.tables
+        got = spark.range(1).select(column(vec(e[0]), vec(e[2]), [vec(x[1]) for x in r]).alias("s")).first().s
+        assert got == pytest.approx(trainer.scores(np.array([[0, 1, 2]]))[0])
