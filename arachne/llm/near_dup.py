@@ -245,7 +245,7 @@ def _first_cells(texts: DataFrame, feats: DataFrame, classes: DataFrame, n: int,
     """(cells, texts): rows (cell, x, n, s, w, comp) of the cells that hold two nodes or more, and the text (x, text) of each of their nodes."""
     spark = texts.sparkSession
     mine = feats.where("size(cells) > 0 and id is not null")
-    copies = S.saved(mine.select("id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where("id <> rep").select("id", "d1", "d2").distinct(), "copies")
+    copies = S.saved(mine.select("id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where("id <> rep").select("id", "d1", "d2"), "copies")  # not made distinct, so that Spark can split a large group
     reps = mine.join(S.maybe_broadcast(copies, copies.count()), ["id", "d1", "d2"], "left_anti")
     shared = S.saved(reps.select(F.explode("cells").alias("cell")).groupBy("cell").count().where("count > 1").select("cell"), "shared")
     listed = reps.select("d1", "d2", "cells").mapInArrow(_listed(spark.sparkContext.broadcast(_filter_of(shared))), "cell long, d1 long, d2 long")

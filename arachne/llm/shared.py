@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist with replicas)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arachne.plans.iterate import shared_folder
+
 #: Rows up to which a side with one or two integer columns may be broadcast. Beyond it, callers shuffle instead.
 BROADCAST_ROWS = 500_000
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="arachne-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/arachne/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/arachne/{name}-{uuid.uuid4().hex}"
 
 
 def write_out(df: DataFrame, name: str) -> tuple[DataFrame, str]:
