@@ -38,13 +38,23 @@ def density(g: PropertyGraph) -> DataFrame:
 def local_clustering(g: PropertyGraph) -> DataFrame:
     """(id, clustering): links among a node's neighbours over possible ones; 0 with fewer than two neighbours.
 
-    Neighbours are taken both ways and leave the node out; a neighbour's own loop counts as a link.
+    Neighbours are taken both ways and leave the node out; a neighbour's own loop counts as a link. Edges point from the
+    end with fewer neighbours to the other, and triangles are found from their smallest corner, so that a hub isn't the
+    middle of pairs of all its neighbours.
     """
-    near = g.both_ways().where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("u"))
-    size = near.groupBy("id").agg(F.count("*").cast("double").alias("k"))
-    # Links are matched from the edge side: each edge meets the nodes that have its source near, then those that have both.
-    links = g.adjacency().select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    closed = near.join(links, "u").join(near.select("id", F.col("u").alias("v")), ["id", "v"]).groupBy("id").agg(F.count("*").alias("links"))
+    a = checkpoint(g.adjacency().select("src", "dst"))
+    both = a.where("src <> dst").groupBy(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).agg(F.count("*").alias("c"))
+    both = checkpoint(both)  # c: links between x and y, either way
+    size = checkpoint(both.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count("*").cast("double").alias("k")))
+    rank = lambda n: size.select(F.col("id").alias(n), F.struct("k", "id").alias(f"r{n}"))
+    ranked = both.join(rank("x"), "x").join(rank("y"), "y")
+    up = checkpoint(ranked.select(F.when(F.col("rx") < F.col("ry"), F.struct(F.col("x").alias("a"), F.col("y").alias("b"), F.col("ry").alias("r"), "c")).otherwise(F.struct(F.col("y").alias("a"), F.col("x").alias("b"), F.col("rx").alias("r"), "c")).alias("e")).select("e.*"), both)
+    wedge = up.toDF("p", "q", "rq", "pq").join(up.toDF("p", "s", "rs", "ps"), "p").where("rq < rs")
+    triangle = wedge.join(up.select(F.col("a").alias("q"), F.col("b").alias("s"), F.col("c").alias("qs")), ["q", "s"])
+    corners = triangle.select(F.explode(F.array(*[F.struct(F.col(n).alias("id"), F.col(c).alias("links")) for n, c in (("p", "qs"), ("q", "ps"), ("s", "pq"))])).alias("t")).select("t.*")
+    loops = up.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("u")), F.struct(F.col("b").alias("id"), F.col("a").alias("u")))).alias("n")).select("n.*")
+    loops = loops.join(a.where("src = dst").select(F.col("src").alias("u"), F.lit(1).cast("long").alias("links")), "u").select("id", "links")
+    closed = corners.union(loops).groupBy("id").agg(F.sum("links").alias("links"))
     rows = g.nodes.select("id").join(size, "id", "left").join(closed, "id", "left")
     return rows.select("id", F.expr("if(k > 1, coalesce(links, 0) / (k * (k - 1)), 0D)").alias("clustering")).na.fill(0.0)
 

@@ -270,3 +270,19 @@ def test_scores_of_the_trainer_are_those_of_the_columns(spark):
         e, *r = trainer.tables
         got = spark.range(1).select(column(vec(e[0]), vec(e[2]), [vec(x[1]) for x in r]).alias("s")).first().s
         assert got == pytest.approx(trainer.scores(np.array([[0, 1, 2]]))[0])
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_clustering_equals_brute_force(spark, directed):
+    import random
+
+    rng = random.Random(5)
+    pairs = {(rng.choice("abcdefgh"), rng.choice("abcdefgh")) for _ in range(30)} | {("hub", x) for x in "abcdefgh"}
+    g = PropertyGraph.from_edges(spark.createDataFrame([(*p, i) for i, p in enumerate(sorted(pairs))], "src string, dst string, ord long"), directed)
+    links = [(r.src, r.dst) for r in g.adjacency().collect()]
+    near = {x: {b for a, b in links if a == x} | {a for a, b in links if b == x} for p in pairs for x in p}
+    want = {}
+    for x, n in near.items():
+        n = n - {x}
+        want[x] = sum(a in n and b in n for a, b in links) / (len(n) * (len(n) - 1)) if len(n) > 1 else 0.0
+    assert {k: v[0] for k, v in values(metrics.local_clustering(g)).items()} == pytest.approx(want)
