@@ -12,9 +12,9 @@ from arachne.llm import kernels as K
 
 U64 = K.U64
 #: Code points handled at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Distinct pre-tokens that a worker remembers before it starts again.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Classes of code points in the vocabulary's pattern.
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
@@ -69,6 +69,16 @@ def starts_of(c: np.ndarray, first: np.ndarray) -> np.ndarray:
     return start
 
 
+def byte_characters() -> list[str]:
+    """The character by which a byte-level vocabulary writes each byte: itself if it is printable and no space, else the next one from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, n = [], 0x100
+    for b in range(256):
+        out.append(chr(b) if b in plain else chr(n))
+        n += b not in plain
+    return out
+
+
 class Encoder:
     """ids of texts, equal to those of the tokenizers library for a byte-level vocabulary in its JSON format, without post-processing.
 
@@ -76,36 +86,42 @@ class Encoder:
     """
 
     def __init__(self, path: str, special: bool):
-        import os
+        import json
         import re
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.bpe = Tokenizer.from_file(path)
-        self.bpe.encode_special_tokens = True  # pre-tokens are ordinary text
-        added = self.bpe.get_added_tokens_decoder() if special else {}
-        if any(t.lstrip or t.rstrip or t.single_word or t.normalized or not t.special for t in added.values()):
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        added = file["added_tokens"] if special else []
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["special"] for t in added):
             raise ValueError(f"{path}: only plain special tokens are known here")
-        self.special = {t.content: i for i, t in added.items()}
+        # The file writes bytes as printable characters. Ids must be ranks: a merge of a lower id comes first.
+        vocabulary, byte = file["model"]["vocab"], {c: b for b, c in enumerate(byte_characters())}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if all(c in byte for c in t) and t not in {x["content"] for x in file["added_tokens"]}}
+        merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in file["model"]["merges"]]
+        if merged != sorted(merged):
+            raise ValueError(f"{path}: ids don't follow the order of merges")
+        # Each text that it gets is one pre-token.
+        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.special = {t["content"]: t["id"] for t in added}
         longest = sorted(self.special, key=len, reverse=True)
         self.marks = re.compile(b"|".join(re.escape(x.encode()) for x in longest)) if longest else None
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.keys = np.zeros(0, U64)  # hashes of known pre-tokens, sorted
+        self.number = np.zeros(0, np.int32)  # the number of each
+        self.pool = np.zeros(1 << 16, np.uint32)  # ids, one pre-token after the other
+        self.begin = np.zeros(1 << 16, np.int32)  # by number
+        self.size = np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> np.ndarray:
         """Encodes new pre-tokens; each gets the next number."""
-        many = [e.ids for e in self.bpe.encode_batch(texts, add_special_tokens=False)]
-        for i, x in enumerate(texts):
-            if x in self.special:
-                many[i] = [self.special[x]]
-        k, n = len(self.known), len(keys)
+        one = self.bpe.encode_ordinary
+        many = [[self.special[x]] if x in self.special else one(x) for x in texts]
+        k, n = len(self.keys), len(texts)
         while k + n > len(self.begin):
             self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
         sizes = np.fromiter(map(len, many), np.int64, n)
@@ -116,7 +132,11 @@ class Encoder:
         self.size[k : k + n] = sizes
         self.begin[k : k + n] = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        self.known.update(zip(keys, range(k, k + n), strict=True))
+        numbers = np.arange(k, k + n, dtype=np.int32)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.number = np.insert(self.keys, at, keys[order]), np.insert(self.number, at, numbers[order])
+        return numbers
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each text); a null counts as empty."""
@@ -155,16 +175,16 @@ class Encoder:
             return np.zeros(0, np.uint32)
         c = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         if len(c) == len(data):
-            at = offsets
+            edges = offsets
         else:
-            at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+            edges = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
         first = np.zeros(len(c) + 1, bool)
-        first[at] = True
+        first[edges] = True
         first = first[:-1]
         first[0] = True
         begins = starts_of(c, first)
         if marked is not None:
-            for a, e in zip(at[:-1][marked].tolist(), at[1:][marked].tolist(), strict=True):
+            for a, e in zip(edges[:-1][marked].tolist(), edges[1:][marked].tolist(), strict=True):
                 begins[a + 1 : e] = False
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(c))
@@ -172,22 +192,25 @@ class Encoder:
         import pandas as pd
 
         which, distinct = pd.factorize(keys)
-        if len(self.known) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self._forget()
-        found = list(map(self.known.get, distinct.tolist()))
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
+        number = np.zeros(len(distinct), np.int64)
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        number[known] = self.number[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
             at_first = np.zeros(len(distinct), np.int64)
             at_first[which[::-1]] = np.arange(len(which))[::-1]
             w = at_first[new]
-            self._learn(distinct[new].tolist(), [c[i:j].tobytes().decode("utf-32-le") for i, j in zip(start[w].tolist(), end[w].tolist(), strict=True)])
-            found = list(map(self.known.get, distinct.tolist()))
-        number = np.array(found, np.int64)
+            number[new] = self._learn(distinct[new], [c[i:j].tobytes().decode("utf-32-le") for i, j in zip(start[w].tolist(), end[w].tolist(), strict=True)])
         token = number[which]
         size = self.size[token]
         ends = np.cumsum(size)
         flat = np.arange(ends[-1]) + np.repeat(self.begin[token] - (ends - size), size)
-        own = np.searchsorted(at, start, "right") - 1
+        own = np.searchsorted(edges, start, "right") - 1
         counts += np.bincount(own, weights=size, minlength=len(counts)).astype(np.int64)
         return self.pool[flat]
 
