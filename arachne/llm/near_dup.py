@@ -37,6 +37,8 @@ from arachne.llm import shared as S
 U64 = K.U64
 #: Parts for each difference that two sets of a class may have, in percent: above 100, so that some parts may be empty.
 PARTS = 125
+#: Texts that a Python worker holds at once.
+BATCH = 500
 #: log2 of the bits of the filter of shared signatures, 8 MB whatever the input; only what it passes is shuffled again.
 FILTER_BITS = 26
 #: Pivots of a cell at the first level, and how many times as many each further level has.
@@ -326,9 +328,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     result; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    feats = S.saved(texts.mapInArrow(_features(n, percent), "id long, n long, d1 long, d2 long, cells array<long>"), "features")
-    classes = S.saved(feats.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    comps = _join(*_first_cells(texts, feats, classes, n, percent), n, percent)
+    with S.small_batches(docs.sparkSession, BATCH):  # all that Python does is written out in here
+        feats = S.saved(texts.mapInArrow(_features(n, percent), "id long, n long, d1 long, d2 long, cells array<long>"), "features")
+        classes = S.saved(feats.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "classes")
+        comps = _join(*_first_cells(texts, feats, classes, n, percent), n, percent)
     named = classes.select("d1", "d2", "rep", F.col("node").alias("x"))
     if comps is not None:
         least = comps.join(named.select(F.col("x").alias("id"), "rep"), "id").groupBy("comp").agg(F.min("rep").alias("least"))
