@@ -9,10 +9,6 @@ from arachne.llm import decontaminate, near_dup, packing, pii, quality
 from arachne.llm import shared as S
 from arachne.llm.queries import table, vocabulary
 
-#: The number of a row within the stage that tells copies apart.
-ROW = "__row"
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep. Each row is judged by its own text: null, empty and too short ones go, very long ones are read whole, and repeated or null ids are no matter."""
     return quality.keep_documents(docs)
@@ -22,15 +18,17 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of exact or near copies one row: that with the smallest id, null ids last.
 
     Rows are told apart by a number of their own, so of rows that repeat an id each is judged by its text, and rows with
-    a null id take part. Texts without words are copies of nothing and stay.
+    a null id take part. Texts without words are copies of nothing and stay; very long ones are compared whole; of rows
+    that tie, one is kept; an empty table stays empty.
     """
-    rows = S.saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    groups = S.saved(near_dup.jaccard_components(rows, ROW), "groups").select(ROW, "component_id")
-    copied = groups.where(F.col(ROW) != F.col("component_id")).select("component_id").distinct()
-    members = groups.join(copied, "component_id", "left_semi").join(rows.select(ROW, "doc_id"), ROW)
-    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("kept"))
-    drop = S.saved(members.join(kept, "component_id").where(F.col(ROW) != F.col(f"kept.{ROW}")).select(ROW), "copies")
-    return rows.join(S.maybe_broadcast(drop, drop.count()), ROW, "left_anti").select(docs.columns)
+    row = S.unused(docs, "row")
+    rows = S.saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = S.saved(near_dup.jaccard_components(rows, row), "groups").select(F.col(row).alias("r"), "component_id")
+    copied = groups.where("r <> component_id").select("component_id").distinct()
+    members = groups.join(copied, "component_id", "left_semi").join(rows.select(F.col(row).alias("r"), F.col("doc_id").alias("id")), "r")
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r")).alias("kept"))
+    drop = S.saved(members.join(kept, "component_id").where("r <> kept.r").select(F.col("r").alias(row)), "copies")
+    return rows.join(S.maybe_broadcast(drop, drop.count()), row, "left_anti").select(docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
