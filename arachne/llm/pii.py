@@ -265,16 +265,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(_scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        i = b.schema.get_field_index("__text")
-        texts = pa.array([redact(t) for t in b.column(i).to_pylist()], pa.string())
-        yield b.set_column(i, "__text", texts)
+def _redact(place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.array([redact(t) for t in b.column(place).to_pylist()], pa.string())
+            yield b.set_column(place, b.schema.field(place).name, texts)
+
+    return run
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every detected span replaced by its kind; all other columns as they are, whatever their names. A null text
     stays null, an empty one empty; each row is rewritten by itself, so repeated rows and ids and null ids are no matter;
     very long texts are rewritten whole; an empty table gives an empty result."""
-    renamed = docs.withColumnRenamed(text_col, "__text")
-    return renamed.mapInArrow(_redact, renamed.schema).withColumnRenamed("__text", text_col)
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    return docs.mapInArrow(_redact(docs.columns.index(text_col)), docs.schema)
