@@ -8,11 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arachne.operators.graph import PropertyGraph
+from arachne.plans.iterate import checkpoint
 
 
 def tokens(text: Column | str) -> Column:
-    """Unicode words of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    """Words of the lower-cased text: runs of letters, numbers and underscores of any script."""
+    return words(F.lower(text))
+
+
+def words(text: Column | str) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -23,15 +28,18 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, tf, idf, tfidf): tf = count / tokens; idf = ln(1 + n / (1 + df)). n counts the documents without tokens too."""
-    words = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("w"))
-    counts = words.select("doc_id", F.size("w").alias("size"), F.explode("w").alias("term")).groupBy("doc_id", "size", "term").agg(F.count("*").alias("c"))
+    split = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("w"))
+    counts = split.select("doc_id", F.size("w").alias("size"), F.explode("w").alias("term")).groupBy("doc_id", "size", "term").agg(F.count("*").alias("c"))
     n = docs.agg(F.count("*").alias("n"))
     df = counts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))
     return counts.join(df, "term").select("doc_id", "term", (F.col("c") / F.col("size")).alias("tf"), "idf", (F.col("c") / F.col("size") * F.col("idf")).alias("tfidf"))
 
 
 def vector_query(index: DataFrame, docs: DataFrame, query: str, top_k: int = 2, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, score) of the top_k cosines, ties by id; a query without known terms scores every document 0."""
+    """(doc_id, score) of the top_k cosines, ties by id; a query without known terms scores every document 0.
+
+    The index is read twice, so one that isn't a table yet is best written first.
+    """
     q = docs.sparkSession.range(1).select(tokens(F.lit(query)).alias("w")).select(F.size("w").alias("size"), F.explode("w").alias("term")).groupBy("size", "term").agg((F.count("*") / F.first("size")).alias("qtf"))
     hits = index.join(F.broadcast(q.select("term", "qtf")), "term")
     terms = hits.select("term", (F.col("qtf") * F.col("idf")).alias("qw")).distinct()
@@ -93,12 +101,11 @@ def hybrid_retrieve(docs: DataFrame, triples: DataFrame, query: str, top_k: int
     An entity is named if its lower-cased name is a word of the lower-cased query or of a chunk as it stands
     (lowercase_chunks: lower-cased too).
     """
-    top = vector_query(tfidf(docs, id_col, text_col), docs, query, top_k, id_col).join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
-    split = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    top = vector_query(checkpoint(tfidf(docs, id_col, text_col)), docs, query, top_k, id_col).join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
     chunk = F.lower("text") if lowercase_chunks else F.col("text")
-    words = docs.sparkSession.range(1).select(F.explode(split(F.lower(F.lit(query)))).alias("w")).union(top.select(F.explode(split(chunk)))).distinct()
+    play = docs.sparkSession.range(1).select(F.explode(tokens(F.lit(query))).alias("w")).union(top.select(F.explode(words(chunk)))).distinct()
     entities = triples.select(F.explode(F.array("s", "o")).alias("id")).distinct()
-    seeds = entities.join(words, F.lower("id") == F.col("w"), "left_semi")
+    seeds = entities.join(play, F.lower("id") == F.col("w"), "left_semi")
     return top, neighbourhood(triples, seeds, max_hops)
 
 

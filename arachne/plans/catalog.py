@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from arachne.functions import vectors as V
 from arachne.operators import centrality, components, embed, flow, gnn, kg, metrics, paths, pgm, retrieval, spectral
 from arachne.operators.graph import PropertyGraph
+from arachne.plans.iterate import checkpoint
 from arachne.sources import graphs as G
 from arachne.streaming import incremental
 
@@ -836,7 +837,7 @@ TEXT = "this work is licensed under the apache license of the thing"
 )
 def tfidf_query_topk(spark, sf):
     docs = G.table(spark, sf, "documents")
-    return retrieval.vector_query(retrieval.tfidf(docs), docs, TEXT, 5).select("doc_id", r6(F.col("score"), "score"))
+    return retrieval.vector_query(checkpoint(retrieval.tfidf(docs)), docs, TEXT, 5).select("doc_id", r6(F.col("score"), "score"))
 
 
 _CHUNKS = "SELECT doc_id, (i - 1)::BIGINT AS chunk, trim(parts[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS parts FROM documents)) WHERE trim(parts[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''"
