@@ -283,3 +283,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     winners = S.saved(best.select("host", F.col("best.path").alias("path")), "paths")
     joined = rows.join(S.maybe_broadcast(winners, winners.count(), 50_000), "host", "left")
     return joined.select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+
+
+#: DuckDB SQL of the same result for pages whose main text is their one article, of plain blocks and the named references below.
+ORACLE = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(h, '<br>', ' ', 'g'), '</?(h[1-6]|p|li|ul|ol|div|section|blockquote)( [^>]*)?>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)) AS parts FROM a),
+c AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d"""
