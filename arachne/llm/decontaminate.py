@@ -278,3 +278,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for sent in _passes(benchmark, item_col, item_text_col, n, overlap):
         docs = docs.mapInArrow(_clean(sent, text_col, overlap, n), docs.schema)
     return docs
+
+
+#: DuckDB SQL of the same result for items that mark no question and answer.
+ORACLE = r"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+v AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM w),
+s AS (
+  SELECT kind, id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM v),
+u AS (SELECT kind, id, len(sh) AS n, unnest(sh) AS sh FROM s)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS question_hits, i.n AS question_shingles, 0::BIGINT AS answer_hits, 0::BIGINT AS answer_shingles
+FROM u i JOIN u d ON d.sh = i.sh AND d.kind = 'd' AND i.kind = 'i' GROUP BY d.id, i.id, i.n HAVING 100 * count(*) >= 80 * i.n"""
