@@ -167,9 +167,23 @@ def _covered(text: str, start: int, end: int, edits: list[tuple[int, int, str]])
     return len({c for _, i, j in spans for c in range(i, j) if made[c].isdigit()}), any(k == "ip" for k, _, _ in spans)
 
 
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """The run without a single digit word that stands after, or before, a number in digits and blanks or commas: it is an article or the like."""
+    found = list(TOKEN.finditer(text, start, end))
+    if m := PLUS.match(text, start, end):
+        found = [t for t in found if t.start() >= m.end()]
+    lone = lambda word, number, gap: not word[0].isdigit() and number[0].isdigit() and not DOT.fullmatch(gap)
+    if len(found) > 1 and lone(found[-1], found[-2], text[found[-2].end() : found[-1].start()]):
+        end = found.pop(-2).end()
+    if len(found) > 1 and found[0].start() == start and lone(found[0], found[1], text[found[0].end() : found[1].start()]):
+        start = found[1].start()
+    return start, end
+
+
 def _numbers(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
     """Edits of a run of digits, digits in words and dots: of the readings as one number, as an address, as the parts between
     stops, and of long spelled parts alone, that with most digits in base spans."""
+    start, end = _trimmed(text, start, end)
     if not RUN_HINT.search(text, start, end):
         return []
     spelled = [e for p in SPELLED.finditer(text, start, end) for e in _spell(text, p.start(), p.end(), False)]
@@ -280,3 +294,29 @@ def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     very long texts are rewritten whole; an empty table gives an empty result."""
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     return docs.mapInArrow(_redact(docs.columns.index(text_col)), docs.schema)
+
+
+#: DuckDB SQL of the same result for texts without disguises. The next match begins where its text next occurs, as an
+#: earlier occurrence would have been matched.
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT doc_id, text, 1 AS o, 'email' AS k, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS f FROM t
+  UNION ALL SELECT doc_id, text, 2, 'ip', regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM t
+  UNION ALL SELECT doc_id, text, 3, 'card', regexp_extract_all(text, '[0-9](?:[ -]?[0-9])+') FROM t
+  UNION ALL SELECT doc_id, text, 4, 'phone', regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]') FROM t),
+p AS (
+  SELECT doc_id, o, 0 AS i, 0::BIGINT AS b, 0::BIGINT AS e FROM m
+  UNION ALL
+  SELECT doc_id, o, i + 1, e + strpos(substr(text, e + 1), f[i + 1]) - 1, e + strpos(substr(text, e + 1), f[i + 1]) - 1 + length(f[i + 1]) FROM p JOIN m USING (doc_id, o) WHERE i < len(f)),
+x AS (SELECT doc_id, o, k, b, e, f[i] AS s, regexp_replace(f[i], '[^0-9]', '', 'g') AS d FROM p JOIN m USING (doc_id, o) WHERE i > 0),
+g AS (
+  SELECT * FROM x WHERE CASE k
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(s, '.'), lambda q: length(ltrim(q, '0')) > 3 OR coalesce(try_cast(nullif(ltrim(q, '0'), '') AS INTEGER), 0) > 255)) = 0
+    WHEN 'card' THEN length(d) BETWEEN 16 AND 19
+      AND list_sum(list_transform(range(1, length(d) + 1), lambda j: CASE WHEN j % 2 = 1 THEN substr(reverse(d), j, 1)::INTEGER ELSE substr(reverse(d), j, 1)::INTEGER * 2 - CASE WHEN substr(reverse(d), j, 1)::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    ELSE length(d) BETWEEN 8 AND 15 END),
+a AS (SELECT doc_id, string_agg(k || ':' || b || ':' || e, ',' ORDER BY o, b) AS spans, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2, count(*) FILTER (o = 3) AS n3, count(*) FILTER (o = 4) AS n4 FROM g GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n1, 0) AS n_email, coalesce(n2, 0) AS n_ip, coalesce(n3, 0) AS n_card, coalesce(n4, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a USING (doc_id)"""

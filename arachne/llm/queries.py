@@ -60,4 +60,4 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc, op3_best_fit_packing, op4_quality_rules, op5_token_counts, op6_html_extraction, op7_benchmark_decontamination, op8_url_filters, op9_pii, op10_license_scans)}
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": near_dup.ORACLE, "op2_warc": warc.ORACLE, "op4_quality_rules": quality.ORACLE, "op6_html_extraction": html_text.ORACLE, "op7_benchmark_decontamination": decontaminate.ORACLE, "op8_url_filters": urls.oracle()}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": near_dup.ORACLE, "op2_warc": warc.ORACLE, "op4_quality_rules": quality.ORACLE, "op6_html_extraction": html_text.ORACLE, "op7_benchmark_decontamination": decontaminate.ORACLE, "op8_url_filters": urls.oracle(), "op9_pii": pii.ORACLE}

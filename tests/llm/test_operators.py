@@ -390,6 +390,12 @@ def test_personal_data_in_long_texts_takes_linear_time():
     assert took(8000) < 40 * max(took(800), 0.01)
 
 
+@pytest.mark.parametrize(("text", "whole"), [("le +33 1 55 01 02 03 un jour", "+33 1 55 01 02 03"), ("une 4111 1111 1111 1111", "4111 1111 1111 1111"), ("call +1 555 010 0199 one day", "+1 555 010 0199")])
+def test_an_article_beside_a_number_is_no_digit(text, whole):
+    base, every = pii.detect(text)
+    assert base == every and [text[i:j] for _, i, j in every] == [whole]
+
+
 def test_two_numbers_in_one_run_are_both_found():
     text = "at 1.2.3.4, " + "four " + "one " * 14 + "one"
     assert pii.redact(text) == "at [IP], [CARD]"
