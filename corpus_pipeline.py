@@ -60,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's table goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES:
-        docs = S.saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, at = S.write_out(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        S.remove(spark, *before)
+        before = (at,)
     return docs
