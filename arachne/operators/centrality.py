@@ -9,15 +9,18 @@ from arachne.operators.graph import PropertyGraph
 from arachne.plans.iterate import checkpoint, remove
 
 
-def betweenness(g: PropertyGraph, normalization: str = "double") -> DataFrame:
+def betweenness(g: PropertyGraph, normalization: str = "double", sources: DataFrame | None = None) -> DataFrame:
     """(id, betweenness): unweighted shortest paths through a node.
 
+    sources (column id): only paths that begin there count, scaled by nodes over sources. The state has a row for each
+    source and node, so a large graph needs a sample of sources; with all nodes, the default, the values are exact.
     Forward, all sources advance a level at a time and count paths; backward, dependencies are summed from the last
     level. normalization: "double" divides by (n - 1)(n - 2) and doubles an undirected graph's value, whose pairs count
     twice already; "standard" doesn't double; with two nodes or fewer the raw sums stay.
     """
     a = checkpoint(g.adjacency().where("src <> dst").select("src", "dst").distinct())
-    level = checkpoint(g.nodes.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))
+    begin = g.nodes.select("id") if sources is None else g.nodes.select("id").join(sources.select("id").distinct(), "id", "left_semi")
+    level = checkpoint(begin.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))
     levels, seen = [level], level.select("s", "id")
     while True:
         new = levels[-1].join(a, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
@@ -36,7 +39,8 @@ def betweenness(g: PropertyGraph, normalization: str = "double") -> DataFrame:
         deps = back.groupBy("s", F.col("src").alias("id")).agg(F.sum(F.expr("pv / pw * (1 + dep)")).alias("dep"))
         below = checkpoint(upper.join(deps, ["s", "id"], "left").na.fill(0.0, ["dep"]))
     n = g.num_nodes()
-    factor = 1.0 if n <= 2 else (1.0 if g.directed or normalization == "standard" else 2.0) / ((n - 1) * (n - 2))
+    share = n / max(1, level.count()) if sources is not None else 1.0
+    factor = share if n <= 2 else (1.0 if g.directed or normalization == "standard" else 2.0) * share / ((n - 1) * (n - 2))
     sums = total.where("s <> id").groupBy("id").agg(F.sum("dep").alias("b")) if total is not None else None
     rows = g.nodes.select("id")
     rows = rows.join(sums, "id", "left") if sums is not None else rows.withColumn("b", F.lit(0.0))

@@ -10,20 +10,12 @@ from pyspark.sql import functions as F
 
 from arachne.operators.components import connected
 from arachne.operators.graph import PropertyGraph
-from arachne.plans.iterate import checkpoint
+from arachne.plans.iterate import bounded, checkpoint
 
 #: Edges up to which one component is solved in a task.
 MAX_EDGES = 2_000_000
 
 
-def _checked(rows: DataFrame, *by: str) -> DataFrame:
-    """rows, if no group has more than MAX_EDGES: counted with partial aggregation, before any group moves to a task."""
-    most = rows.groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
-    if most > MAX_EDGES:
-        raise ValueError(f"a component has more than {MAX_EDGES} edges")
-    return rows
-
-
 def greedy_matching(edges: DataFrame) -> DataFrame:
     """(left, right): a matching of the edges (src, dst) to which no edge can be added, in rounds: each free src asks one free dst, and each dst takes one that asks."""
     left, found, k = checkpoint(edges.select("src", "dst").distinct()), None, 0
@@ -53,7 +45,7 @@ def bipartite_matching(g: PropertyGraph, left: DataFrame) -> DataFrame:
     sides = e.select(F.col("src").alias("id"), F.lit(1).alias("l"), F.lit(0).alias("r")).union(e.select("dst", F.lit(0), F.lit(1))).distinct()
     counts = sides.join(part, "id").groupBy("component").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     open_ = checkpoint(counts.join(held.groupBy("component").agg(F.count("*").alias("k")), "component", "left").where("l > coalesce(k, 0) and r > coalesce(k, 0)").select("component"))
-    rows = _checked(e.join(part.withColumnRenamed("id", "src"), "src").join(open_, "component", "left_semi"), "component")
+    rows = bounded(e.join(part.withColumnRenamed("id", "src"), "src").join(open_, "component", "left_semi"), MAX_EDGES, "component")
     rows = rows.join(held.select(F.col("left").alias("src"), F.col("right").alias("dst"), F.lit(True).alias("held")), ["src", "dst"], "left")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -188,4 +180,4 @@ def max_flow(g: PropertyGraph, source: str, sink: str, method: str = "dinic") ->
         rows = [(u, v, max(0.0, c - r.near[u][v]), u in side and v not in side, value) for u, vs in cap.items() for v, c in vs.items() if c > 0]
         return pd.DataFrame(rows, columns=["src", "dst", "flow", "in_cut", "value"])
 
-    return _checked(g.adjacency().where("src <> dst")).groupBy(F.lit(0).alias("_g")).applyInPandas(run, "src string, dst string, flow double, in_cut boolean, value double")
+    return bounded(g.adjacency().where("src <> dst"), MAX_EDGES).groupBy(F.lit(0).alias("_g")).applyInPandas(run, "src string, dst string, flow double, in_cut boolean, value double")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from arachne.functions import vectors as V
 from arachne.operators.graph import PropertyGraph
 from arachne.operators.spectral import MAX_DENSE
-from arachne.plans.iterate import checkpoint
+from arachne.plans.iterate import bounded, checkpoint
 
 Matrix = list[list[float]]
 
@@ -175,12 +175,11 @@ def vgae_kl(encoded: DataFrame) -> DataFrame:
 
 def vgae_train(x: DataFrame, edges: DataFrame, hidden: int = 8, latent: int = 4, epochs: int = 10, lr: float = 0.05, seed: int = 7) -> DataFrame:
     """(epoch, loss, kl) of training in numpy, in one task within MAX_DENSE nodes: cross entropy plus 0.1 KL, finite steps by Adam."""
+    bounded(x.select("id"), MAX_DENSE)
     rows = x.select("id", "x", F.lit(None).cast("string").alias("dst")).union(edges.select("src", F.lit(None).cast("array<double>"), "dst"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = pdf[pdf["dst"].isna()].sort_values("id")
-        if len(nodes) > MAX_DENSE:
-            raise ValueError(f"more than {MAX_DENSE} nodes")
         at = {n: i for i, n in enumerate(nodes["id"])}
         feats = np.stack(nodes["x"].map(np.asarray).tolist())
         adj = np.zeros((len(at), len(at)))

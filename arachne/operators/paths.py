@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from arachne.operators.components import connected
 from arachne.operators.graph import PropertyGraph
-from arachne.plans.iterate import checkpoint
+from arachne.plans.iterate import bounded, checkpoint
+
+#: Edges of the component that a depth-first walk holds.
+MAX_EDGES = 10_000_000
 
 
 def bfs_order(g: PropertyGraph, start: str) -> DataFrame:
@@ -29,7 +32,7 @@ def bfs_order(g: PropertyGraph, start: str) -> DataFrame:
 
 
 def dfs_preorder(g: PropertyGraph, start: str) -> DataFrame:
-    """(id, rank): depth-first preorder, neighbours in order of insertion. Sequential by nature: the start's component in one task."""
+    """(id, rank): depth-first preorder, neighbours in order of insertion. Sequential by nature: the start's component in one task, of at most MAX_EDGES edges."""
     part = connected(g)
     own = part.where(F.col("id") == start).select("component")
     members = part.join(F.broadcast(own), "component", "left_semi").select("id")
@@ -48,7 +51,7 @@ def dfs_preorder(g: PropertyGraph, start: str) -> DataFrame:
         return pd.DataFrame({"id": list(seen), "rank": list(seen.values())})
 
     rows = a.union(g.nodes.where(F.col("id") == start).select("id", "id", F.lit(-1).cast("long")))
-    return rows.groupBy(F.lit(0).alias("_g")).applyInPandas(walk, "id string, rank long")
+    return bounded(rows, MAX_EDGES).groupBy(F.lit(0).alias("_g")).applyInPandas(walk, "id string, rank long")
 
 
 def shortest(g: PropertyGraph, sources: DataFrame, rounds: int | None = None) -> tuple[DataFrame, bool]:

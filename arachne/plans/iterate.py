@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,6 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this library has left in the shared folder: for the end of a session, when no result is read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/arachne")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def remove(*tables: DataFrame | None) -> None:
     """Delete tables of checkpoint() that nothing reads any more."""
     for df in tables:
@@ -27,6 +34,14 @@ def remove(*tables: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bounded(rows: DataFrame, limit: int, *by: str) -> DataFrame:
+    """rows, if no group (by; without it all rows) has more than limit. Counted with partial aggregation, before a group moves to a task; raises ValueError else."""
+    most = rows.groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+    if most > limit:
+        raise ValueError(f"{most} rows belong together, and one task holds {limit} at most")
+    return rows
+
+
 def checkpoint(df: DataFrame, *spent: DataFrame | None) -> DataFrame:
     """df, computed and written to the shared folder, and read from there. spent: such tables that only df has still to read."""
     spark = df.sparkSession

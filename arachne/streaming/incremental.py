@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from arachne.operators.retrieval import decay, remember, tokens
+from arachne.plans.iterate import bounded
+
+#: Events of one connected part that a task holds.
+MAX_EVENTS = 5_000_000
 
 
 def gru_cell(hidden: np.ndarray, inputs: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
@@ -29,7 +33,8 @@ def temporal_memory(events: DataFrame, node: int, edge: int, weights: dict[str,
     """(id, memory) after events (u, v, feature array, ts, event_id), in order of (ts, event_id).
 
     At each event both ends are updated from the memories that both had before: inputs are u's, v's and the feature.
-    Events touch two nodes, so order matters within a connected part of the event graph only: parts run side by side.
+    Events touch two nodes, so order matters within a connected part of the event graph only: parts of at most
+    MAX_EVENTS events run side by side. A larger part raises ValueError: cut the stream into windows of time then.
     """
     from arachne.operators.components import labels
 
@@ -47,7 +52,7 @@ def temporal_memory(events: DataFrame, node: int, edge: int, weights: dict[str,
         return pd.DataFrame({"id": list(memory), "memory": [m.tolist() for m in memory.values()]})
 
     rows = events.join(part.withColumnRenamed("id", "u"), "u")
-    return rows.groupBy("component").applyInPandas(run, "id string, memory array<double>")
+    return bounded(rows, MAX_EVENTS, "component").groupBy("component").applyInPandas(run, "id string, memory array<double>")
 
 
 class BatchStore:

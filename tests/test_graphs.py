@@ -35,6 +35,12 @@ def test_metrics_of_the_square(square):
     assert values(centrality.pagerank(square))["B"][0] == pytest.approx(0.295213, abs=1e-5)
 
 
+def test_betweenness_by_sources(spark, square):
+    whole = values(centrality.betweenness(square))
+    each = [values(centrality.betweenness(square, sources=spark.createDataFrame([(x,)], "id string"))) for x in "ABCD"]
+    assert {k: (sum(e[k][0] for e in each) / 4,) for k in whole} == {k: pytest.approx(v) for k, v in whole.items()}
+
+
 def test_spectrum_of_the_square(spark, square):
     got = [r.value for r in spectral.eigenvalues(square).orderBy("k").collect()]
     assert got == pytest.approx([0, 2.3861, 5.8031, 8.8108], abs=1e-4)
@@ -286,3 +292,18 @@ def test_clustering_equals_brute_force(spark, directed):
         n = n - {x}
         want[x] = sum(a in n and b in n for a, b in links) / (len(n) * (len(n) - 1)) if len(n) > 1 else 0.0
     assert {k: v[0] for k, v in values(metrics.local_clustering(g)).items()} == pytest.approx(want)
+
+
+def test_what_one_task_cannot_hold_is_refused(spark, network, monkeypatch):
+    monkeypatch.setattr(flow, "MAX_EDGES", 3)
+    monkeypatch.setattr(paths, "MAX_EDGES", 3)
+    for run in (lambda: flow.max_flow(network, "source", "sink"), lambda: paths.dfs_preorder(network, "source")):
+        with pytest.raises(ValueError, match="one task holds 3"):
+            run()
+
+
+def test_vgae_training_lowers_the_loss(spark):
+    x = spark.createDataFrame([(str(i), [float(i % 3 == k) for k in range(3)]) for i in range(12)], "id string, x array<double>")
+    e = spark.createDataFrame([(str(i), str((i + d) % 12)) for i in range(12) for d in (3, 6)], "src string, dst string")
+    rows = gnn.vgae_train(x, e, epochs=40).orderBy("epoch").collect()
+    assert len(rows) == 40 and rows[-1].loss < rows[0].loss
