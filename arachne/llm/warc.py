@@ -9,6 +9,8 @@ from arachne.llm import shared as S
 
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 1000
+#: Distinct payloads up to which their digests and keepers are broadcast: about 50 MB.
+KEEPERS = 200_000
 #: WARC-Date of records whose time of capture isn't known.
 NO_DATE = "1970-01-01T00:00:00Z"
 _EOL = r"\r\n"
@@ -42,11 +44,13 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         if(kind = 'revisit', concat('{_EOL}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{_EOL}WARC-Refers-To: <urn:page:', cast(keeper as string), '>'), ''),
         '{_EOL}Content-Length: ', if(kind = 'revisit', '0', cast(bytes as string)), '{_EOL}{_EOL}')""")
     headers = S.saved(typed.select(F.encode(header, "UTF-8").alias("header")), "headers")
-    # The payload goes to the store with its keeper; a repeated page row or a null id must not store it twice.
-    owned = rows.select("page_id", "sha256", "payload")
-    known = owned.where("page_id is not null").join(keep.withColumnRenamed("keeper", "page_id"), ["page_id", "sha256"], "left_semi").dropDuplicates(["page_id", "sha256"])
-    nameless = owned.where("page_id is null").join(keep.where("keeper is null"), "sha256", "left_semi").dropDuplicates(["sha256"])
-    payloads = S.saved(known.unionByName(nameless).select("sha256", "payload"), "payloads")
+    # The payload goes to the store with its keeper. A list of keepers of checked size is broadcast, so that payloads don't
+    # move; only where keepers' rows repeat (a page twice, null ids) are payloads brought together, to store each once.
+    keeper = S.maybe_broadcast(keep.select("sha256", F.struct("keeper").alias("keeper")), keep.count(), KEEPERS)
+    owned = lambda table: table.withColumn("keeper", F.struct(F.col("page_id").alias("keeper"))).join(keeper, ["sha256", "keeper"], "left_semi")  # noqa: E731  (structs, as null ids are equal in them)
+    repeated = owned(meta.select("page_id", "sha256")).groupBy("sha256").count().where("count > 1")
+    stored = owned(rows.select("page_id", "sha256", "payload")).select("sha256", "payload")
+    payloads = S.saved(stored if repeated.isEmpty() else stored.dropDuplicates(["sha256"]), "payloads")
     S.remove(spark, meta_at, keep_at)
     S.free_shuffles(spark)
     return headers, payloads
