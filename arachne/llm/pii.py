@@ -57,10 +57,12 @@ RUN = re.compile(rf"(?<!\w)(?>(?:plus[ ,.-]+|\+ *)?)(?>{_TOKEN}(?:{_GAP}{_TOKEN}
 PLUS, TOKEN = re.compile(r"plus[ ,.-]+|\+ *", re.I), re.compile(_TOKEN, re.I)
 SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,.-]+)?(?:(?:{_WORD})[ ,.-]+){{{LEAST_SPELLED - 1},}}(?:{_WORD})(?!\w)", re.I)
 #: Two numbers in a row of which one is a word, or a dot in disguise between two.
-RUN_HINT = re.compile(rf"(?<!\w)(?:{_WORD}){_GAP}(?:[0-9]|(?:{_WORD})(?!\w))|[0-9]{_GAP}(?:{_WORD})(?!\w)|[0-9]{_DOT}[0-9]", re.I)
+RUN_HINT = rf"(?<!\w)(?:{_WORD}){_GAP}(?:[0-9]|(?:{_WORD})(?!\w))|[0-9]{_GAP}(?:{_WORD})(?!\w)|[0-9]{_DOT}[0-9]"
+# Lower case is searched as it stands, which is faster than without regard to case.
+RUN_HINT, LOW_RUN_HINT = re.compile(RUN_HINT, re.I), re.compile(RUN_HINT)
 STOP = re.compile(r"[,.()]")
 AT, DOT = re.compile(_AT + r"|\s*@\s*", re.I), re.compile(_DOT, re.I)
-HINT = re.compile(rf"[\[({{<]\s*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s*[\])}}>]|\s(?:{DOT_WORDS})\s", re.I)
+HINT = re.compile(rf"[\[({{<]\s*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s*[\])}}>]|\s(?:{DOT_WORDS})\s")
 
 
 def luhn(digits: str) -> bool:
@@ -195,16 +197,25 @@ def _numbers(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
     return max([spelled, *readings], key=lambda r: _covered(text, start, end, r))
 
 
+def _latin(text: str) -> bool:
+    """Whether no character can be one that stands for another: those of Latin-1 but the soft hyphen can't."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "\xad" not in text
+
+
 def deobfuscate(text: str) -> Transduced:
     """Look-alike letters and digits, then digits in words, alone or among digits, then at and dot in disguise, become what they stand for."""
     t = Transduced(text)
-    if not text.isascii():
+    if not _latin(text):
         t.rewrite([(m.start(), m.end(), SINGLE[ord(m[0])]) for m in MAPPED.finditer(text)])
     edits = []
-    for m in RUN.finditer(t.text) if RUN_HINT.search(t.text) else ():
+    for m in RUN.finditer(t.text) if LOW_RUN_HINT.search(t.text.lower()) else ():
         edits += _numbers(t.text, m.start(), m.end())
     t.rewrite(edits)
-    if HINT.search(t.text) or "@" in t.text and re.search(r"\s@|@\s", t.text):
+    if HINT.search(t.text.lower()) or "@" in t.text and re.search(r"\s@|@\s", t.text):
         edits = []
         for m in DISGUISED.finditer(t.text):
             own = sorted([(a.start(), a.end(), "@") for a in AT.finditer(t.text, m.start(), m.end())][:1] + [(d.start(), d.end(), ".") for d in DOT.finditer(t.text, m.start(), m.end())])
