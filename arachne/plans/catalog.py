@@ -604,12 +604,12 @@ def _sum(e: str) -> str:
 _UH, _UT, _UW = "sqrt(list_inner_product(h, h))", "sqrt(list_inner_product(t, t))", "list_inner_product(w, w)"
 
 
-@query(f"SELECT vec_id, round({_sum(f'abs(h[$] / {_UH} + r[$] - t[$] / {_UT})')}, 5) AS score FROM v", using=(_VEC,))
+@query(f"SELECT vec_id, round({_sum(f'abs(h[$] / {_UH} + r[$] - t[$] / {_UT})')}, 5) + 0::DOUBLE AS score FROM v", using=(_VEC,))
 def score_transe(spark, sf):
     return _vectors(spark, sf).select("vec_id", F.round(kg.transe("h", "r", "t"), 5).alias("score"))
 
 
-@query(f"SELECT vec_id, round({_sum(f'abs(h[$] - w[$] * list_inner_product(w, h) / {_UW} + r[$] - t[$] + w[$] * list_inner_product(w, t) / {_UW})')}, 5) AS score FROM v", using=(_VEC,))
+@query(f"SELECT vec_id, round({_sum(f'abs(h[$] - w[$] * list_inner_product(w, h) / {_UW} + r[$] - t[$] + w[$] * list_inner_product(w, t) / {_UW})')}, 5) + 0::DOUBLE AS score FROM v", using=(_VEC,))
 def score_transh(spark, sf):
     return _vectors(spark, sf).select("vec_id", F.round(kg.transh("h", "r", "t", "w"), 5).alias("score"))
 
@@ -617,32 +617,32 @@ def score_transh(spark, sf):
 _ROW = dict(enumerate("abcdabcd", 1))
 
 
-@query("SELECT vec_id, round(list_sum([" + ", ".join(f"abs(list_inner_product({_ROW[i]}, h) + r[{i}] - list_inner_product({_ROW[i]}, t))" for i in range(1, 9)) + "]), 5) AS score FROM v", using=(_VEC,))
+@query("SELECT vec_id, round(list_sum([" + ", ".join(f"abs(list_inner_product({_ROW[i]}, h) + r[{i}] - list_inner_product({_ROW[i]}, t))" for i in range(1, 9)) + "]), 5) + 0::DOUBLE AS score FROM v", using=(_VEC,))
 def score_transr(spark, sf):
     return _vectors(spark, sf).select("vec_id", F.round(kg.transr("h", "r", "t", F.array(*_ROW.values())), 5).alias("score"))
 
 
-@query(f"SELECT vec_id, round({_sum('sqrt(power(h[$] * cos(r[$]) - w[$] * sin(r[$]) - t[$], 2) + power(h[$] * sin(r[$]) + w[$] * cos(r[$]) - a[$], 2) + 1e-15)')}, 5) AS score FROM v", using=(_VEC,))
+@query(f"SELECT vec_id, round({_sum('sqrt(power(h[$] * cos(r[$]) - w[$] * sin(r[$]) - t[$], 2) + power(h[$] * sin(r[$]) + w[$] * cos(r[$]) - a[$], 2) + 1e-15)')}, 5) + 0::DOUBLE AS score FROM v", using=(_VEC,))
 def score_rotate(spark, sf):
     return _vectors(spark, sf).select("vec_id", F.round(kg.rotate("h", "w", "r", "t", "a"), 5).alias("score"))
 
 
-@query(f"SELECT vec_id, round({_sum('h[$] * r[$] * t[$]')}, 5) AS score FROM v", using=(_VEC,))
+@query(f"SELECT vec_id, round({_sum('h[$] * r[$] * t[$]')}, 5) + 0::DOUBLE AS score FROM v", using=(_VEC,))
 def score_distmult(spark, sf):
     return _vectors(spark, sf).select("vec_id", F.round(kg.distmult("h", "r", "t"), 5).alias("score"))
 
 
-@query(f"SELECT vec_id, round({_sum('h[$] * r[$] * t[$] + w[$] * r[$] * b[$] + h[$] * a[$] * b[$] - w[$] * a[$] * t[$]')}, 5) AS score FROM v", using=(_VEC,))
+@query(f"SELECT vec_id, round({_sum('h[$] * r[$] * t[$] + w[$] * r[$] * b[$] + h[$] * a[$] * b[$] - w[$] * a[$] * t[$]')}, 5) + 0::DOUBLE AS score FROM v", using=(_VEC,))
 def score_complex(spark, sf):
     return _vectors(spark, sf).select("vec_id", F.round(kg.complex_score("h", "w", "r", "a", "t", "b"), 5).alias("score"))
 
 
-@query("SELECT vec_id, round(list_sum([" + ", ".join(f"h[{i}] * list_inner_product({_ROW[i]}, t)" for i in range(1, 9)) + "]), 5) AS score FROM v", using=(_VEC,))
+@query("SELECT vec_id, round(list_sum([" + ", ".join(f"h[{i}] * list_inner_product({_ROW[i]}, t)" for i in range(1, 9)) + "]), 5) + 0::DOUBLE AS score FROM v", using=(_VEC,))
 def score_rescal(spark, sf):
     return _vectors(spark, sf).select("vec_id", F.round(kg.rescal("h", F.array(*_ROW.values()), "t"), 5).alias("score"))
 
 
-@query(f"SELECT vec_id, round(greatest(1 + {_sum('h[$] * w[$] * t[$]')} - {_sum('h[$] * r[$] * t[$]')}, 0), 5) AS loss FROM v", using=(_VEC,))
+@query(f"SELECT vec_id, round(greatest(1 + {_sum('h[$] * w[$] * t[$]')} - {_sum('h[$] * r[$] * t[$]')}, 0), 5) + 0::DOUBLE AS loss FROM v", using=(_VEC,))
 def kge_margin_loss(spark, sf):
     return _vectors(spark, sf).select("vec_id", F.round(kg.margin_loss(kg.distmult("h", "r", "t"), kg.distmult("h", "w", "t"), "distmult"), 5).alias("loss"))
 
